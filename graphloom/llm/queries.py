@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid
+from graphloom.llm import langid, substring
 from graphloom.llm.common import remainder
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: words in 13-word windows that a smaller doc_id holds too are removed."""
+    return substring.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score. A null doc_id is neither held out nor learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -20,7 +25,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_language_id,)}
+    return {f.__name__: f for f in (op2_substring_dedup, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
