@@ -103,7 +103,8 @@ class Words:
 
     __slots__ = ("buf", "offs", "white", "start", "end", "first", "hash")
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True) -> None:
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True, cut: np.ndarray | None = None) -> None:
+        """cut: bytes at which a new word begins even without white space before."""
         self.buf, self.offs = LOWER[buf] if lower else buf, offs
         n = len(buf)
         self.white = white = WHITE[buf]
@@ -113,6 +114,9 @@ class Words:
         full = offs[:-1] < offs[1:]
         heads, tails = offs[:-1][full], offs[1:][full] - 1
         begins[heads], ends[tails] = ~white[heads], ~white[tails]
+        if cut is not None:
+            begins |= cut
+            ends[:-1] |= cut[1:] & ~white[:-1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offs)
         if hashed:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, substring
+from graphloom.llm import bpe, jaccard, langid, packing, substring
 from graphloom.llm.common import remainder
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: words in 13-word windows that a smaller doc_id holds too are removed."""
@@ -24,8 +27,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", F.coalesce(rest == 1, F.lit(False))), model, ["doc_id", "held_out"])
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER, ["doc_id"])
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: sequences of at most 4096 tokens."""
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id: 5-word shingles, similarity 0.75 or more."""
+    return jaccard.similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op7_language_id)}
+    return {f.__name__: f for f in (op2_substring_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

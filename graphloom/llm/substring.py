@@ -113,21 +113,18 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 13, id_col: s
     once = whole.join(firsts.hint("shuffle_hash"), F.col("id") == F.col("first_id"), "left_semi").select("id", "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def anchored() -> DataFrame:
-        return once.mapInArrow(per_batch(lambda b: _anchors(b, window)), f"a long, id {kind}")
-
+    # One frame for both its uses, so that Spark finds the exchanges below it equal and makes them once.
+    anchored = once.mapInArrow(per_batch(lambda b: _anchors(b, window)), f"a long, id {kind}")
     # The key is changed after the count, so that the join deals both sides anew and can split a frequent anchor.
-    shared = anchored().groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    shared = anchored.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = shared.select(F.col("a").bitwiseXOR(F.lit(1)).alias("b"))
-    places = anchored().join(shared, F.col("a").bitwiseXOR(F.lit(1)) == F.col("b")).groupBy(F.col("id").alias("at_id")).agg(F.collect_set("a").alias("anchors"))
+    places = anchored.join(shared, F.col("a").bitwiseXOR(F.lit(1)) == F.col("b")).groupBy(F.col("id").alias("at_id")).agg(F.collect_set("a").alias("anchors"))
     near = once.join(places.hint("shuffle_hash"), F.col("id") == F.col("at_id")).select("id", "text", "anchors")
 
-    def extended() -> DataFrame:
-        return near.mapInArrow(per_batch(lambda b: _extend(b, window)), f"a int, w long, id {kind}")
-
-    owner = extended().groupBy("a", "w").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most")
+    extended = near.mapInArrow(per_batch(lambda b: _extend(b, window)), f"a int, w long, id {kind}")
+    owner = extended.groupBy("a", "w").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most")
     owner = owner.select(F.col("w").bitwiseXOR(F.lit(1)).alias("v"), F.col("a").alias("c"), "owner")
-    later = extended().join(owner, (F.col("w").bitwiseXOR(F.lit(1)) == F.col("v")) & (F.col("a") == F.col("c"))).where("id > owner")
+    later = extended.join(owner, (F.col("w").bitwiseXOR(F.lit(1)) == F.col("v")) & (F.col("a") == F.col("c"))).where("id > owner")
     flags = later.groupBy(F.col("id").alias("flag_id")).agg(F.collect_set("w").alias("flags"))
     marked = whole.join(flags.hint("shuffle_hash"), F.col("id") == F.col("flag_id"), "left").join(firsts.hint("shuffle_hash"), F.col("id") == F.col("first_id"), "left")
     columns = [f"k{i}" for i in range(len(keep))]
