@@ -188,6 +188,45 @@ def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
     return run
 
 
+# --- fixed-size filters ----------------------------------------------------------------------------------------------
+
+FILTER_BITS = 1 << 23
+
+
+class IdFilter:
+    """A Bloom filter of fixed size (1 MB) over ids: it keeps texts out of shuffles that will not need them.
+
+    It lets every id of its set pass and, while the set has fewer than a million or so, few others; with more it lets
+    more pass, which costs time and never rows.
+    """
+
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        h, bit = IdFilter.keys(F.col(column))
+        bits = ids.select(F.shiftright(h, 6).alias("w"), F.expr("1L").alias("one"), bit.alias("b"))
+        got = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, cast(b as int))")).alias("bits")).toArrow()
+        self.bits = np.zeros(FILTER_BITS // 64, np.int64)
+        self.bits[got["w"].to_numpy()] = got["bits"].to_numpy()
+
+    @staticmethod
+    def keys(column: Column) -> tuple[Column, Column]:
+        """The columns that passing() reads; null for a null id."""
+        h = F.when(column.isNotNull(), F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+        return h, F.when(column.isNotNull(), F.pmod(F.xxhash64(column, F.lit(1)), F.lit(64)))
+
+    def passing(self, h: pa.Array, b: pa.Array) -> np.ndarray:
+        known = h.is_valid().to_numpy(zero_copy_only=False)
+        h, b = (x.fill_null(0).to_numpy() for x in (h, b))
+        return known & ((self.bits[h >> 6] >> b) & 1 == 1)
+
+
+def finish_step(spark: SparkSession) -> None:
+    """Have the JVM collect its garbage, so that Spark deletes the shuffle files of steps whose results are written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- connected components --------------------------------------------------------------------------------------------
 
 

@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GRAM_A, GRAM_B, Words, as_long, blocks, components, grams, inside, mix, per_batch, staged
+from graphloom.llm.common import GRAM_A, GRAM_B, IdFilter, Words, as_long, blocks, components, finish_step, grams, mix, per_batch, staged
 
 HOT = np.uint64(1 << 63)
-BLOOM_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -125,16 +124,6 @@ def _prefixes(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator
 # --- verification ----------------------------------------------------------------------------------------------------
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the ids (column id): it lets all of them pass, and few others while they are few."""
-    at = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
-    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit"))
-    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[got["w"].to_numpy()] = got["bits"].to_numpy()
-    return out
-
-
 def _verify(batch: pa.RecordBatch, plan: Plan) -> Iterator[pa.RecordBatch]:
     sets = [dict(shingles(batch.column(c), plan)) for c in (2, 3)]
     ok = np.zeros(batch.num_rows, bool)
@@ -150,14 +139,13 @@ def verified(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (x, y) of ids whose whole texts are linked. Texts of other documents are dropped before the shuffle."""
     kind = pairs.schema["x"].dataType.simpleString()
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    needed = docs.sparkSession.sparkContext.broadcast(IdFilter(ids, "id"))
 
     def passing(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = batch.column(0).to_numpy()
-        yield batch.filter(pa.array((bloom.value[at >> 6] >> batch.column(1).to_numpy()) & 1 == 1)).select([2, 3])
+        yield batch.filter(pa.array(needed.value.passing(batch.column(0), batch.column(1)))).select([2, 3])
 
-    told = docs.select(F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("h"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("b"), "id", "text")
-    texts = told.mapInArrow(per_batch(passing), f"id {kind}, text string")
+    h, b = IdFilter.keys(F.col("id"))
+    texts = docs.select(h.alias("h"), b.alias("b"), "id", "text").mapInArrow(per_batch(passing), f"id {kind}, text string")
     left = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("a")), "x")
     both = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("b")), "y").select("x", "y", "a", "b")
     return both.mapInArrow(per_batch(lambda b: _verify(b, plan)), f"x {kind}, y {kind}")
@@ -186,6 +174,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = shared.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), "least")
     found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).groupBy("t", "g").agg(F.min("least").alias("least"))
     found = staged(found, "prefix-shingles")
+    finish_step(spark)
     ties = found.where("g <> least").groupBy("g", "least").agg(F.count("*").alias("c"))
     one, two = (leaders.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("y").alias(s)) for i, s in ((1, "x"), (2, "y")))
     near = ties.join(one, F.col("g") == F.col("g1")).join(two, F.col("least") == F.col("g2"))
@@ -193,6 +182,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inner = classes.join(leaders, ["g", "n"]).where("x <> y").select("x", "y")
     pairs = staged(near.union(inner).where("x <> y").distinct(), "ties")
     links = staged(verified(pairs, usable, plan), "links")
+    finish_step(spark)
     first = components(links, "x", "y")
     # completeness between first components
     node = classes.join(first, classes.x == first.node, "left").select("g", "x", "n", F.coalesce("component", "x").alias("k"))

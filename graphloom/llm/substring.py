@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import GRAM_A, GRAM_B, Words, as_long, blocks, grams, inside, per_batch
+from graphloom.llm.common import GRAM_A, GRAM_B, IdFilter, Words, as_long, blocks, finish_step, grams, inside, per_batch, staged
 
 ANCHOR = 4
 
@@ -49,12 +49,14 @@ def _anchors(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
     ids = batch.column(0).to_numpy()
     for lo, hi, buf, offs in blocks(batch.column(1)):
         words = Words(buf, offs)
+        raw = buf.tobytes()
+        text = np.array([int.from_bytes(hashlib.blake2b(raw[offs[d] : offs[d + 1]], digest_size=8).digest(), "little", signed=True) for d in range(hi - lo)], np.int64)
         anchor, ok = _windows(words, window)
         at = np.flatnonzero(ok)
         anchor, doc = anchor[at], words.doc()[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        yield pa.RecordBatch.from_arrays([as_long(anchor[new]), pa.array(ids[lo:hi][doc[new]])], ["a", "id"])
+        yield pa.RecordBatch.from_arrays([as_long(anchor[new]), pa.array(text[doc[new]]), pa.array(ids[lo:hi][doc[new]])], ["a", "text", "id"])
 
 
 def _extend(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
@@ -106,32 +108,62 @@ def _finish(batch: pa.RecordBatch, window: int, n_keep: int, kept_text: bool) ->
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], window: int = 13, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
-    """For each row: the columns in keep, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    whole = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"), F.col(id_col).alias("id")).repartition("id")
-    firsts = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h")).where("id is not null")
-    firsts = firsts.groupBy("h").agg(F.min("id").alias("first_id")).select("first_id").distinct()
-    once = whole.join(firsts.hint("shuffle_hash"), F.col("id") == F.col("first_id"), "left_semi").select("id", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
+    """For each row: the columns in keep, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
-    # One frame for both its uses, so that Spark finds the exchanges below it equal and makes them once.
-    anchored = once.mapInArrow(per_batch(lambda b: _anchors(b, window)), f"a long, id {kind}")
-    # The key is changed after the count, so that the join deals both sides anew and can split a frequent anchor.
-    shared = anchored.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    Texts are shuffled only where they hold a shared anchor, and again where they lose words.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    owned = texts.where("id is not null")
+    firsts = owned.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).groupBy("h").agg(F.min("id").alias("first_id")).select("first_id")
+    firsts = staged(firsts.distinct(), "first-copies")
+
+    # Seeds. Copies of a text share its hash, so they do not make an anchor shared. The key is changed after the count:
+    # the join then deals both sides anew and can split a frequent anchor.
+    anchored = owned.mapInArrow(per_batch(lambda b: _anchors(b, window)), f"a long, text long, id {kind}")
+    shared = anchored.groupBy("a").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most")
     shared = shared.select(F.col("a").bitwiseXOR(F.lit(1)).alias("b"))
-    places = anchored.join(shared, F.col("a").bitwiseXOR(F.lit(1)) == F.col("b")).groupBy(F.col("id").alias("at_id")).agg(F.collect_set("a").alias("anchors"))
-    near = once.join(places.hint("shuffle_hash"), F.col("id") == F.col("at_id")).select("id", "text", "anchors")
-
-    extended = near.mapInArrow(per_batch(lambda b: _extend(b, window)), f"a int, w long, id {kind}")
+    places = anchored.select("a", "id").join(shared, F.col("a").bitwiseXOR(F.lit(1)) == F.col("b")).groupBy(F.col("id").alias("at_id")).agg(F.collect_set("a").alias("anchors"))
+    places = staged(places.join(firsts, F.col("at_id") == F.col("first_id"), "left_semi"), "shared-anchors")
+    finish_step(spark)
+
+    # Extension.
+    near = _passing(texts, ["id", "text"], IdFilter(places, "at_id")).join(places, F.col("id") == F.col("at_id")).select("id", "text", "anchors")
+    extended = staged(near.mapInArrow(per_batch(lambda b: _extend(b, window)), f"a int, w long, id {kind}"), "windows")
+    finish_step(spark)
     owner = extended.groupBy("a", "w").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most")
     owner = owner.select(F.col("w").bitwiseXOR(F.lit(1)).alias("v"), F.col("a").alias("c"), "owner")
     later = extended.join(owner, (F.col("w").bitwiseXOR(F.lit(1)) == F.col("v")) & (F.col("a") == F.col("c"))).where("id > owner")
-    flags = later.groupBy(F.col("id").alias("flag_id")).agg(F.collect_set("w").alias("flags"))
-    marked = whole.join(flags.hint("shuffle_hash"), F.col("id") == F.col("flag_id"), "left").join(firsts.hint("shuffle_hash"), F.col("id") == F.col("first_id"), "left")
+    flags = later.groupBy("id").agg(F.collect_set("w").alias("flags")).select("id", "flags", F.lit(False).alias("copy"))
+    copies = owned.select("id").join(firsts, F.col("id") == F.col("first_id"), "left_anti").distinct()
+    marks = staged(flags.unionByName(copies.select("id", F.lit(None).cast("array<bigint>").alias("flags"), F.lit(True).alias("copy"))), "marks")
+    finish_step(spark)
+
+    # Removal.
     columns = [f"k{i}" for i in range(len(keep))]
-    marked = marked.select(*columns, "text", "flags", (F.col("id").isNotNull() & F.col("first_id").isNull()).alias("copy"))
+    whole = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     out = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     out += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     out += [T.StructField("kept_text", T.StringType())] * kept_text
-    done = marked.mapInArrow(per_batch(lambda b: _finish(b, window, len(keep), kept_text)), T.StructType(out))
+    touched = IdFilter(marks, "id")
+    marks = marks.select(F.col("id").alias("mark_id"), "flags", "copy")
+    some = _passing(whole, [*columns, "text", "id"], touched).join(marks, F.col("id") == F.col("mark_id"), "left")
+    none = _passing(whole, [*columns, "text"], touched, want=False)
+    rows = some.select(*columns, "text", "flags", F.coalesce("copy", F.lit(False)).alias("copy"))
+    rest = none.withColumn("flags", F.lit(None).cast("array<bigint>")).withColumn("copy", F.lit(False))
+    done = [x.mapInArrow(per_batch(lambda b: _finish(b, window, len(keep), kept_text)), T.StructType(out)) for x in (rows, rest)]
     taken = {"n_words", "n_removed", "kept_sha256", *["kept_text"] * kept_text}
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in taken], *[f.name for f in out[len(keep) :]])
+    return done[0].union(done[1]).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in taken], *[f.name for f in out[len(keep) :]])
+
+
+def _passing(df: DataFrame, columns: list[str], which: IdFilter, want: bool = True) -> DataFrame:
+    """Those rows (their id is in column id) that the filter lets pass, or those that it does not."""
+    held = df.sparkSession.sparkContext.broadcast(which)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ok = held.value.passing(batch.column(0), batch.column(1)) == want
+        yield batch.filter(pa.array(ok)).select(list(range(2, batch.num_columns)))
+
+    h, b = IdFilter.keys(F.col("id"))
+    return df.select(h.alias("__h"), b.alias("__b"), *columns).mapInArrow(per_batch(run), df.select(*columns).schema)
