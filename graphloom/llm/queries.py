@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, langid, packing, substring
+from graphloom.llm import bpe, jaccard, langid, packing, pii, substring
 from graphloom.llm.common import remainder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (of the rules' spans), spans (with the tagger's)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pii.detect(docs, pii.train(docs), ["doc_id"])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: words in 13-word windows that a smaller doc_id holds too are removed."""
     return substring.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
@@ -43,7 +49,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
