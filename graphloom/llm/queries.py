@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, langid, packing, pii, substring
+from graphloom.llm import bpe, covertree, jaccard, langid, packing, pii, substring
 from graphloom.llm.common import remainder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept: cosine 0.98 or more within a label."""
+    return covertree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score. A null doc_id is neither held out nor learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -49,7 +54,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
