@@ -162,7 +162,7 @@ class Encoder:
 
 
 def _distinct(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for _, _, buf, offs in blocks(batch.column(0), 32 << 20):
+    for _, _, buf, offs in blocks(batch.column(0)):
         words = tokenizer_words(buf, offs)
         if len(words.hash):
             h, first, n = np.unique(words.hash, return_index=True, return_counts=True)

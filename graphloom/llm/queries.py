@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, covertree, jaccard, langid, packing, pii, substring
 from graphloom.llm.common import remainder
+from graphloom.shipping import ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -53,8 +55,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
+def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package sent to the workers first."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
+    return {f.__name__: shipped(f) for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
