@@ -8,7 +8,7 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
    on groups and classes, so copies cost one row each.
 2. Prefix shingles found in one group only are dropped after a pre-aggregated count.
 3. Each remaining shingle ties its groups to its least group: one row for a group and shingle, however large the
-   group. The ties that share enough shingles, and the classes inside each group, are verified on whole texts and give
+   group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
    first components.
 4. Completeness: classes of different first components that share prefix shingles are paired, the number c of shared
    ones is counted, and pairs with c + max(n - prefix) below the least overlap are dropped (a lower bound, so no link
@@ -178,7 +178,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = found.where("g <> least").groupBy("g", "least").agg(F.count("*").alias("c"))
     one, two = (leaders.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("y").alias(s)) for i, s in ((1, "x"), (2, "y")))
     near = ties.join(one, F.col("g") == F.col("g1")).join(two, F.col("least") == F.col("g2"))
-    near = near.where(_enough(plan, "n1", "n2")).select("x", "y")
+    # Ties only have to give most first components, cheaply; what they miss is found by the last step.
+    near = near.where(_enough(plan, "n1", "n2")).where(f"10 * c >= 3 * (least(n1, n2) - ceil({plan.num} * least(n1, n2) / {plan.den}) + 1)").select("x", "y")
     inner = classes.join(leaders, ["g", "n"]).where("x <> y").select("x", "y")
     pairs = staged(near.union(inner).where("x <> y").distinct(), "ties")
     links = staged(verified(pairs, usable, plan), "links")
