@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, covertree, jaccard, langid, packing, pii, substring
+from graphloom.llm import bpe, covertree, html, imatch, jaccard, langid, packing, pii, substring
 from graphloom.llm.common import remainder
 from graphloom.shipping import ship
 
@@ -32,6 +32,16 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return imatch.fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score. A null doc_id is neither held out nor learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -67,7 +77,7 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
+    return {f.__name__: shipped(f) for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op4_imatch, op6_html, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
