@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, covertree, html, imatch, jaccard, langid, packing, pii, substring
+from graphloom.llm import bpe, covertree, html, imatch, jaccard, langid, ngram_lm, packing, pii, substring
 from graphloom.llm.common import remainder
 from graphloom.shipping import ship
 
@@ -37,6 +37,14 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rest = remainder("doc_id", 7)
+    model, unigrams = ngram_lm.train(docs, rest != 2)
+    return ngram_lm.score(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model, unigrams, ["doc_id", "held_out"])
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
@@ -77,7 +85,7 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op4_imatch, op6_html, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
+    return {f.__name__: shipped(f) for f in (op1_pii, op2_substring_dedup, op3_embedding_dedup, op4_imatch, op5_ngram_lm, op6_html, op7_language_id, op8_bpe, op9_packing, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
