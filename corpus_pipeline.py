@@ -4,21 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import langid
-from graphloom.llm.common import remainder, staged
+from graphloom.llm import jaccard, langid, packing, pii, substring
+from graphloom.llm.common import prepare, remainder, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no recognisable language: null text or no letter at all."""
-    model = langid.train(docs, remainder("doc_id", 3) != 1)
-    return langid.predict(docs, model, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    prepare(spark)
+    model = langid.train(docs.select("doc_id", "text", "lang"), remainder("doc_id", 3) != 1)
+    own = _shielded(docs)
+    return _restored(langid.predict(own, model, own.columns).where("lang_pred <> 'und'"), docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language ID", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each component of similar documents; rows without doc_id stay."""
+    prepare(spark)
+    own = _shielded(docs)
+    found = jaccard.similar_components(own)
+    gone = found.where("component_id <> id").select(F.col("id").alias("gone_id")).distinct()
+    return _restored(own.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"), docs)
 
-#: SQL cannot express the models; tests hold the stages against brute force.
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that an earlier document holds; texts that lose nothing stay as they are, others are joined by
+    single spaces."""
+    prepare(spark)
+    own = _shielded(docs)
+    done = substring.remove_repeats(own, own.columns, kept_text=True)
+    return _restored(done, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind in brackets."""
+    prepare(spark)
+    own = _shielded(docs)
+    return _restored(pii.detect(own, pii.train(own), own.columns, redact=True), docs, F.col("redacted"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def _shielded(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and every column under a name that no operator uses, so that no extra column can clash."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _restored(df: DataFrame, docs: DataFrame, text: F.Column | None = None) -> DataFrame:
+    """The columns of docs again, with the new text and, where it has changed, its length."""
+    new = {}
+    if text is not None:
+        new["text"] = text
+        if "n_chars" in docs.columns:
+            old = F.col(f"own_{docs.columns.index('n_chars')}")
+            new["n_chars"] = F.when(text.eqNullSafe(F.col("text")), old).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return df.select(*[new.get(c, F.col(f"own_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("PII", private_data),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: SQL cannot express the models and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -193,7 +193,7 @@ def encode_digests(docs: DataFrame, path: str, keep: list[str], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, held.value)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(len(keep))):
+            for lo, hi, buf, offs in blocks(batch.column(len(keep)), 4 << 20):
                 ids, bound, text, at = encoder.encode(tokenizer_words(buf, offs), text=True)
                 a, b = ([hashlib.sha256(x[e[d] : max(e[d], e[d + 1] - cut)]).hexdigest() for d in range(hi - lo)] for x, e, cut in ((ids, bound, 0), (text, at, 1)))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, held.value)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(len(keep))):
+            for lo, hi, buf, offs in blocks(batch.column(len(keep)), 4 << 20):
                 ids, bound, _, _ = encoder.encode(tokenizer_words(buf, offs))
                 out = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), out], [*keep, "ids"])

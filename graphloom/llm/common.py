@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 _OWN_DIR: list[str] = []
 
 
@@ -41,6 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and let an Arrow batch hold few enough rows for long texts."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo the modulus (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
@@ -79,7 +87,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def blocks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole texts of about limit bytes: (first row, end row, bytes, offsets). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -152,7 +152,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encoder = Encoder(path)
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(1)):
+            for lo, hi, buf, offs in blocks(batch.column(1), 4 << 20):
                 ids, bound, _, _ = encoder.encode(tokenizer_words(buf, offs))
                 ids = np.insert(ids, bound[1:], np.uint32(end))
                 bound = bound + np.arange(hi - lo + 1)

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, covertree, html, imatch, jaccard, langid, ngram_lm, packing, pii, substring
-from graphloom.llm.common import remainder
-from graphloom.shipping import ship
+from graphloom.llm.common import prepare, remainder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,11 +73,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, with the package sent to the workers first."""
+    """The query, with the package sent to the workers first and Arrow batches of a size that suits whole texts."""
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     return run
