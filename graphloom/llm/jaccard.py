@@ -10,9 +10,11 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
 3. Each remaining shingle ties its groups to its least group: one row for a group and shingle, however large the
    group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
    first components.
-4. Completeness: classes of different first components that share prefix shingles are paired, the number c of shared
-   ones is counted, and pairs with c + max(n - prefix) below the least overlap are dropped (a lower bound, so no link
-   is lost). The rest are verified. Pairs inside a component need no check: they cannot change it.
+4. While such ties leave many pairs between components, rounds of verifying each class with its best few leaders merge
+   components further.
+5. Completeness: classes of different first components that share a prefix shingle, at a place that leaves room for the others a link needs, are paired, the number c of shared ones
+   is counted, and pairs with c + max(n - prefix) below the least overlap are dropped (an upper bound of the overlap, so
+   no link is lost). The rest are verified. Pairs inside a component need no check: they cannot change it.
 
 The order only steers cost. Whatever the sample shows, every link between components is found.
 
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import GRAM_A, GRAM_B, IdFilter, Words, as_long, blocks, components, finish_step, grams, mix, per_batch, staged
@@ -38,17 +41,24 @@ HOT = np.uint64(1 << 63)
 
 @dataclass(frozen=True)
 class Plan:
-    """k words a shingle; similarity at least num/den; shingles in at least common of about sample documents go last."""
+    """k words a shingle; similarity at least num/den; shingles in at least common of about sample documents go last;
+    leaders and rounds: see _grown."""
 
     k: int = 5
     num: int = 75
     den: int = 100
     sample: int = 20_000
     common: int = 3
+    leaders: int = 8
+    rounds: int = 3
 
     def prefix(self, n: int) -> int:
         return n - (self.num * n + self.den - 1) // self.den + 1
 
+    def beyond(self, n: str) -> str:
+        """SQL: how many shingles of a set of size n lie behind its prefix."""
+        return f"(ceil({self.num} * {n} / {self.den}) - 1)"
+
     def overlap_at_least(self, n: str, m: str) -> str:
         """SQL: the least overlap of linked sets of sizes n and m."""
         return f"ceil({self.num} * ({n} + {m}) / {self.num + self.den})"
@@ -107,18 +117,23 @@ def _profile(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[
 
 
 def _prefixes(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    groups, parts, size = [], [], 0
+    groups, parts, places, size = [], [], [], 0
+
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([as_long(np.concatenate(parts)), pa.array(np.concatenate(groups)), pa.array(np.concatenate(places).astype(np.int32))], ["t", "g", "pos"])
+
     for _, v in shingles(batch.column(0), plan, common):
         if len(v):
             p = v[: plan.prefix(len(v))]
             parts.append(p)
             groups.append(np.full(len(p), _signature(p, 0x5EED) + len(v)))
+            places.append(np.arange(len(p)))
             size += len(p)
         if size > 200_000:
-            yield pa.RecordBatch.from_arrays([as_long(np.concatenate(parts)), pa.array(np.concatenate(groups))], ["t", "g"])
-            groups, parts, size = [], [], 0
+            yield flushed()
+            groups, parts, places, size = [], [], [], 0
     if parts:
-        yield pa.RecordBatch.from_arrays([as_long(np.concatenate(parts)), pa.array(np.concatenate(groups))], ["t", "g"])
+        yield flushed()
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -168,11 +183,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = staged(classes, "classes")
     leaders = classes.groupBy("g", "n").agg(F.min("x").alias("y"))
 
-    rows = usable.select("text").mapInArrow(per_batch(lambda b: _prefixes(b, plan, common.value)), "t long, g long")
+    rows = usable.select("text").mapInArrow(per_batch(lambda b: _prefixes(b, plan, common.value)), "t long, g long, pos int")
     # the count's key is changed, so that the join deals both sides anew and can split a frequent shingle
     shared = rows.groupBy("t").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
     shared = shared.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), "least")
-    found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).groupBy("t", "g").agg(F.min("least").alias("least"))
+    found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).groupBy("t", "g").agg(F.min("least").alias("least"), F.min("pos").alias("pos"))
     found = staged(found, "prefix-shingles")
     finish_step(spark)
     ties = found.where("g <> least").groupBy("g", "least").agg(F.count("*").alias("c"))
@@ -185,18 +200,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = staged(verified(pairs, usable, plan), "links")
     finish_step(spark)
     first = components(links, "x", "y")
-    # completeness between first components
-    node = classes.join(first, classes.x == first.node, "left").select("g", "x", "n", F.coalesce("component", "x").alias("k"))
-    spread = found.join(node, "g").select("t", "x", "n", "k")
-    mixed = spread.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"))
-    open_rows = staged(spread.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).select("t", "x", "n", "k"), "open-shingles")
-    other = open_rows.select(F.col("t").alias("s"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    cross = open_rows.join(other, F.col("t") == F.col("s")).where(
-        f"k < k2 and {plan.den} * n >= {plan.num} * n2 and {plan.den} * n2 >= {plan.num} * n"
-    )
-    cross = cross.groupBy("x", "n", "y", "n2").agg(F.count("*").alias("c")).where(_enough(plan, "n", "n2")).select("x", "y")
-    more = staged(verified(staged(cross, "cross-pairs"), usable, plan), "links")
-    last = components(links.union(more), "x", "y") if not more.isEmpty() else first
+    links, last, open_rows = _grown(links, first, found, classes, usable, plan)
+    # Completeness between the components so far. Linked sets share at least `least` prefix shingles, so the first one
+    # they share has as many places behind it in both prefixes: only such shingles need to meet.
+    other = open_rows.select(F.col("t").alias("s"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("pos").alias("pos2"))
+    least, p, p2 = f"greatest(1, {plan.overlap_at_least('n', 'n2')} - greatest({plan.beyond('n')}, {plan.beyond('n2')}))", f"n - {plan.beyond('n')}", f"n2 - {plan.beyond('n2')}"
+    cross = open_rows.join(other, F.col("t") == F.col("s")).where(f"k < k2 and {_sizes(plan)} and pos + {least} <= {p} and pos2 + {least} <= {p2}")
+    cross = staged(cross.select("x", "n", "y", "n2").distinct(), "cross-pairs")
+    tokens = open_rows.groupBy("x").agg(F.collect_set("t").alias("ts"))
+    counted = cross.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("ts").alias("ts2")), "y")
+    cross = counted.withColumn("c", F.size(F.array_intersect("ts", "ts2"))).where(_enough(plan, "n", "n2")).select("x", "y")
+    more = staged(verified(staged(cross, "near-pairs"), usable, plan), "links")
+    if not more.isEmpty():
+        last = components(links.union(more), "x", "y")
     label = classes.join(last, classes.x == last.node, "left").select(
         F.col("g").alias("cg"), F.col("sig").alias("csig"), F.col("x").alias("cx"), F.coalesce("component", "x").alias("component")
     )
@@ -205,7 +221,47 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return by_row.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _open(found: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """t, x, n, k, pos: the prefix shingles that classes of several components share."""
+    node = classes.join(label, classes.x == label.node, "left").select("g", "x", "n", F.coalesce("component", "x").alias("k"))
+    spread = found.join(node, "g").select("t", "x", "n", "k", "pos")
+    mixed = spread.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"))
+    return staged(spread.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).select("t", "x", "n", "k", "pos"), "open-shingles")
+
+
+def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """More links and larger components, while pairs between components are many for the shingles they come from.
+
+    Each round takes up to plan.leaders classes of each shingle, by a hash of the round, and verifies each class with the
+    three of them (of other components) with which it shares most shingles: a number of rows and pairs in proportion to
+    the input. It returns the links, components and open shingles; only the number of rounds depends on luck.
+    """
+    for turn in range(plan.rounds):
+        rows = _open(found, classes, label)
+        met = rows.groupBy("t", "k").agg(F.count("*").alias("m")).groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        pairs, n = met.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
+        if not n or pairs <= 2 * n:
+            return links, label, rows
+        order = F.xxhash64("x", F.lit(turn))
+        lead = rows.groupBy("t", F.pmod(order, F.lit(plan.leaders)).alias("b")).agg(F.min_by(F.struct("x", "n", "k"), order).alias("l"))
+        lead = lead.select(F.col("t").bitwiseXOR(F.lit(1)).alias("s"), F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.k").alias("k2"))
+        near = rows.join(lead, F.col("t").bitwiseXOR(F.lit(1)) == F.col("s")).where(f"k <> k2 and {_sizes(plan)}")
+        near = near.groupBy("x", "n", "y", "n2").agg(F.count("*").alias("c")).where(_enough(plan, "n", "n2"))
+        best = near.withColumn("i", F.row_number().over(W.partitionBy("x").orderBy(F.desc("c"), "y"))).where("i <= 3").select("x", "y")
+        new = staged(verified(staged(best, "best-pairs"), docs, plan), "links")
+        if new.isEmpty():
+            return links, label, rows
+        links = staged(links.union(new), "links")
+        label = components(links, "x", "y")
+        finish_step(docs.sparkSession)
+    return links, label, _open(found, classes, label)
+
+
+def _sizes(plan: Plan) -> str:
+    """Whether sets of sizes n and n2 can be linked."""
+    return f"{plan.den} * n >= {plan.num} * n2 and {plan.den} * n2 >= {plan.num} * n"
+
+
 def _enough(plan: Plan, n: str, m: str):
     """Whether c shared prefix shingles leave room for a link of sets of sizes n and m."""
-    beyond = [f"(ceil({plan.num} * {x} / {plan.den}) - 1)" for x in (n, m)]
-    return F.expr(f"c + greatest({beyond[0]}, {beyond[1]}) >= {plan.overlap_at_least(n, m)}")
+    return F.expr(f"c + greatest({plan.beyond(n)}, {plan.beyond(m)}) >= {plan.overlap_at_least(n, m)}")
