@@ -46,6 +46,10 @@ def tokenizer_words(buf: np.ndarray, offs: np.ndarray) -> Words:
     return Words(low, offs, cut=cut)
 
 
+#: Bytes of text encoded at a time: larger blocks merge fewer tables, smaller ones take less memory.
+BLOCK = (2 << 20) - 8192
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,11 +88,13 @@ class Table:
     at: np.ndarray
 
     @classmethod
-    def of(cls, hashes: np.ndarray, encoded: list[list[int]], path: str) -> Table:
+    def of(cls, hashes: np.ndarray, encoded: list[list[int]], path: str, pieces_too: bool = True) -> Table:
         order = np.argsort(hashes)
         encoded = [encoded[i] for i in order]
         bound = np.concatenate([[0], np.cumsum([len(x) for x in encoded], dtype=np.int64)])
         ids = np.fromiter((i for x in encoded for i in x), np.uint32, int(bound[-1]))
+        if not pieces_too:
+            return cls(hashes[order], ids, bound, np.zeros(0, np.uint8), np.zeros(len(bound), np.int64))
         flat, edge = pieces(path)
         size = np.diff(edge)[ids]
         text = gathered(flat, edge[ids], size)
@@ -116,10 +122,11 @@ def empty_table() -> Table:
 
 
 class Encoder:
-    """Encodes blocks of texts. It starts from a shared table and adds each rarer word once, up to most_rare of them."""
+    """Encodes blocks of texts. It starts from a shared table and adds each rarer word once, up to most_rare of them.
+    Without pieces_too it cannot give decoded text, and is smaller."""
 
-    def __init__(self, path: str, shared: Table | None = None, most_rare: int = 2_000_000) -> None:
-        self.path, self.shared, self.most_rare = path, shared or empty_table(), most_rare
+    def __init__(self, path: str, shared: Table | None = None, most_rare: int = 1_000_000, pieces_too: bool = True) -> None:
+        self.path, self.shared, self.most_rare, self.pieces_too = path, shared or empty_table(), most_rare, pieces_too
         self.rare = empty_table()
 
     def rows(self, words: Words) -> tuple[Table, np.ndarray]:
@@ -134,11 +141,11 @@ class Encoder:
             if len(self.rare.hash) + len(text) > self.most_rare:  # bounded memory; what is dropped is encoded again
                 self.rare = empty_table()
                 return self.rows(words) if len(text) <= self.most_rare and len(distinct) > len(text) else self._only(distinct[new], encoded, distinct, back)
-            self.rare = self.rare.and_(Table.of(distinct[new], encoded, self.path))
+            self.rare = self.rare.and_(Table.of(distinct[new], encoded, self.path, self.pieces_too))
         return self._joined(distinct, back)
 
     def _only(self, new: np.ndarray, encoded: list[list[int]], distinct: np.ndarray, back: np.ndarray) -> tuple[Table, np.ndarray]:
-        self.rare = Table.of(new, encoded, self.path)
+        self.rare = Table.of(new, encoded, self.path, self.pieces_too)
         return self._joined(distinct, back)
 
     def _joined(self, distinct: np.ndarray, back: np.ndarray) -> tuple[Table, np.ndarray]:
@@ -193,7 +200,7 @@ def encode_digests(docs: DataFrame, path: str, keep: list[str], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, held.value)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(len(keep)), 4 << 20):
+            for lo, hi, buf, offs in blocks(batch.column(len(keep)), BLOCK):
                 ids, bound, text, at = encoder.encode(tokenizer_words(buf, offs), text=True)
                 a, b = ([hashlib.sha256(x[e[d] : max(e[d], e[d + 1] - cut)]).hexdigest() for d in range(hi - lo)] for x, e, cut in ((ids, bound, 0), (text, at, 1)))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
@@ -210,7 +217,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, held.value)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(len(keep)), 4 << 20):
+            for lo, hi, buf, offs in blocks(batch.column(len(keep)), BLOCK):
                 ids, bound, _, _ = encoder.encode(tokenizer_words(buf, offs))
                 out = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), out], [*keep, "ids"])

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.bpe import Encoder, tokenizer_words
+from graphloom.llm.bpe import BLOCK, Encoder, tokenizer_words
 from graphloom.llm.common import blocks, staged
 
 Pattern = tuple[tuple[int, ...], int]
@@ -149,10 +149,10 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "part", "nth"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, pieces_too=False)
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(1), 4 << 20):
+            for lo, hi, buf, offs in blocks(batch.column(1), BLOCK):
                 ids, bound, _, _ = encoder.encode(tokenizer_words(buf, offs))
                 ids = np.insert(ids, bound[1:], np.uint32(end))
                 bound = bound + np.arange(hi - lo + 1)
