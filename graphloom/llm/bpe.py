@@ -132,22 +132,17 @@ class Encoder:
     def rows(self, words: Words) -> tuple[Table, np.ndarray]:
         """A table with all the block's words, and the row of each word."""
         distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = self.shared.find(distinct)
-        new = (known < 0) & (self.rare.find(distinct) < 0)
+        missing = self.shared.find(distinct) < 0
+        new = missing & (self.rare.find(distinct) < 0)
+        if len(self.rare.hash) + int(new.sum()) > self.most_rare:  # bounded memory; what is dropped is encoded again
+            self.rare, new = empty_table(), missing
         if new.any():
             raw = words.buf.tobytes()
             text = [raw[words.start[i] : words.end[i]].decode("utf-8", "replace") for i in first[new]]
             encoded = [e.ids for e in tokenizer(self.path).encode_batch_fast(text, add_special_tokens=False)]
-            if len(self.rare.hash) + len(text) > self.most_rare:  # bounded memory; what is dropped is encoded again
-                self.rare = empty_table()
-                return self.rows(words) if len(text) <= self.most_rare and len(distinct) > len(text) else self._only(distinct[new], encoded, distinct, back)
             self.rare = self.rare.and_(Table.of(distinct[new], encoded, self.path, self.pieces_too))
         return self._joined(distinct, back)
 
-    def _only(self, new: np.ndarray, encoded: list[list[int]], distinct: np.ndarray, back: np.ndarray) -> tuple[Table, np.ndarray]:
-        self.rare = Table.of(new, encoded, self.path, self.pieces_too)
-        return self._joined(distinct, back)
-
     def _joined(self, distinct: np.ndarray, back: np.ndarray) -> tuple[Table, np.ndarray]:
         own = distinct[self.shared.find(distinct) >= 0]
         s, r = self.shared.find(own), self.rare

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GRAM_A, GRAM_B, IdFilter, Words, as_long, blocks, components, finish_step, grams, mix, per_batch, staged
+from graphloom.llm.common import GRAM_A, GRAM_B, IdFilter, Words, as_long, blocks, components, finish_step, grams, mix, near_components, per_batch, staged
 
 HOT = np.uint64(1 << 63)
 
@@ -50,7 +50,7 @@ class Plan:
     sample: int = 20_000
     common: int = 3
     leaders: int = 8
-    rounds: int = 3
+    rounds: int = 1
 
     def prefix(self, n: int) -> int:
         return n - (self.num * n + self.den - 1) // self.den + 1
@@ -199,8 +199,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = staged(near.union(inner).where("x <> y").distinct(), "ties")
     links = staged(verified(pairs, usable, plan), "links")
     finish_step(spark)
-    first = components(links, "x", "y")
-    links, last, open_rows = _grown(links, first, found, classes, usable, plan)
+    first = near_components(links, "x", "y")
+    links, open_rows = _grown(links, first, found, classes, usable, plan)
     # Completeness between the components so far. Linked sets share at least `least` prefix shingles, so the first one
     # they share has as many places behind it in both prefixes: only such shingles need to meet.
     other = open_rows.select(F.col("t").alias("s"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("pos").alias("pos2"))
@@ -211,8 +211,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = cross.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("ts").alias("ts2")), "y")
     cross = counted.withColumn("c", F.size(F.array_intersect("ts", "ts2"))).where(_enough(plan, "n", "n2")).select("x", "y")
     more = staged(verified(staged(cross, "near-pairs"), usable, plan), "links")
-    if not more.isEmpty():
-        last = components(links.union(more), "x", "y")
+    last = components(links.union(more), "x", "y")
     label = classes.join(last, classes.x == last.node, "left").select(
         F.col("g").alias("cg"), F.col("sig").alias("csig"), F.col("x").alias("cx"), F.coalesce("component", "x").alias("component")
     )
@@ -229,19 +228,19 @@ def _open(found: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
     return staged(spread.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).select("t", "x", "n", "k", "pos"), "open-shingles")
 
 
-def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """More links and larger components, while pairs between components are many for the shingles they come from.
 
     Each round takes up to plan.leaders classes of each shingle, by a hash of the round, and verifies each class with the
     three of them (of other components) with which it shares most shingles: a number of rows and pairs in proportion to
-    the input. It returns the links, components and open shingles; only the number of rounds depends on luck.
+    the input. It returns the links and the open shingles; only the number of rounds depends on luck.
     """
     for turn in range(plan.rounds):
         rows = _open(found, classes, label)
         met = rows.groupBy("t", "k").agg(F.count("*").alias("m")).groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         pairs, n = met.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
         if not n or pairs <= 2 * n:
-            return links, label, rows
+            return links, rows
         order = F.xxhash64("x", F.lit(turn))
         lead = rows.groupBy("t", F.pmod(order, F.lit(plan.leaders)).alias("b")).agg(F.min_by(F.struct("x", "n", "k"), order).alias("l"))
         lead = lead.select(F.col("t").bitwiseXOR(F.lit(1)).alias("s"), F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.k").alias("k2"))
@@ -250,11 +249,11 @@ def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFr
         best = near.withColumn("i", F.row_number().over(W.partitionBy("x").orderBy(F.desc("c"), "y"))).where("i <= 3").select("x", "y")
         new = staged(verified(staged(best, "best-pairs"), docs, plan), "links")
         if new.isEmpty():
-            return links, label, rows
+            return links, rows
         links = staged(links.union(new), "links")
-        label = components(links, "x", "y")
+        label = near_components(links, "x", "y")
         finish_step(docs.sparkSession)
-    return links, label, _open(found, classes, label)
+    return links, _open(found, classes, label)
 
 
 def _sizes(plan: Plan) -> str:
