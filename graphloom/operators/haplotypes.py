@@ -37,8 +37,8 @@ class Picker:
     def seen(self, run: list[int]) -> bool:
         return any(self.holds(w, run) for w in self.done)
 
-    def coverage(self, node: int) -> int:
-        return sum(node in at for _, at in self.done)
+    def coverage(self, run: list[int]) -> int:
+        return sum(self.holds(w, run) for w in self.done)
 
     def draw(self, options: list[int]) -> int:
         self.draws += 1
@@ -47,7 +47,7 @@ class Picker:
 
     def choose(self, node: int, recent: list[int]) -> int:
         """The next node of a walk: the first one on the first walk; later one that makes the recent nodes a new run,
-        else the least covered one, else any."""
+        else the one whose run is on the fewest walks, else any."""
         options = self.succ[node]
         past = len(self.done)
         if past == 0 or len(options) == 1:
@@ -59,7 +59,7 @@ class Picker:
             for to in options:
                 if not self.seen([*lead, to]):
                     return to
-        cover = [self.coverage(to) for to in options]
+        cover = [self.coverage([*recent, to]) for to in options] if past > 1 and recent else [0]
         if min(cover) < max(cover):
             return options[cover.index(min(cover))]
         return self.draw(options)

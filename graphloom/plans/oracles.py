@@ -140,7 +140,7 @@ SQL: dict[str, str] = {
         """SELECT src * 10 + dst - src AS walk_id, (SELECT count(DISTINCT a.path_id) FROM path_steps a JOIN path_steps b ON b.path_id = a.path_id AND b.pos = a.pos + 1 WHERE a.node_id = src AND b.node_id = dst) AS n_paths FROM edges"""
     ),
     "path_contains": _base(
-        """SELECT path_id, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS run, false AS gap, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS rev, count(*) FILTER (pos IN (0, 2)) = 2 AS some,
+        """SELECT path_id, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS run, false AS gap, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS rev, count(*) FILTER (pos IN (0, 2)) = 2 AS any_order,
         count(*) FILTER (pos IN (1, 2, 3)) = 3 AS by_rank FROM path_steps WHERE path_id % 2 = 0 GROUP BY path_id"""
     ),
     "path_algebra": _base(

@@ -229,7 +229,7 @@ def path_contains(spark: SparkSession, d: str) -> DataFrame:
     run = F.array(first + 2, first + 4, first + 6)
     return s.select(
         "path_id", paths.contains_run(F.col("p"), run).alias("run"), paths.contains_run(F.col("p"), F.array(first, first + 1)).alias("gap"), paths.contains_reversed(F.col("p"), F.reverse(run)).alias("rev"),
-        paths.contains_all(F.col("p"), F.array(first + 4, first)).alias("some"), paths.contains_by_rank(F.col("p"), run).alias("by_rank"),
+        paths.contains_all(F.col("p"), F.array(first + 4, first)).alias("any_order"), paths.contains_by_rank(F.col("p"), run).alias("by_rank"),
     )
 
 
