@@ -106,8 +106,7 @@ def ring(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cuts = rows.select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    held = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(held, lambda c: c <= F.col("id")))).cast("int")
+    part = F.when(F.col("id").isNull(), 0).otherwise(_below(cuts, F.col("id"))) if cuts else F.lit(0)
     rows = rows.withColumn("p", part)
     # the first document of every part, in the order of the rows
     heads = rows.groupBy("p").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", F.coalesce("text", F.lit("")).alias("text"))).alias("h")).orderBy("p").collect()
@@ -119,11 +118,24 @@ def ring(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     return rows.withColumn("extra", F.lit(0)).union(after)
 
 
+def _below(cuts: list, value: F.Column) -> F.Column:
+    """How many of the sorted cuts are at most value, by halving."""
+    held = F.array(*map(F.lit, cuts))
+
+    def halve(acc: F.Column, _: F.Column) -> F.Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        up, live = F.get(held, mid) <= value, acc["lo"] < acc["hi"]
+        return F.struct(F.when(live & up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(live & ~up, mid).otherwise(acc["hi"]).alias("hi"))
+
+    turns = F.array(*map(F.lit, range(len(cuts).bit_length() + 1)))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve)["lo"]
+
+
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, for every row."""
     spark = docs.sparkSession
     lex = spark.sparkContext.broadcast(lexicon(docs, text_col))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several a task, so that tasks even out
     dealt = ring(docs, id_col, text_col, parts).repartition("p").sortWithinPartitions("p", "extra", "id", F.coalesce("text", F.lit("")))
     fields = [
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")),
