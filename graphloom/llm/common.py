@@ -264,12 +264,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label
 
 
-def near_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) like components, but after two rounds of neighbour minima only: nodes of one label are connected,
+def near_components(edges: DataFrame, a: str, b: str, rounds: int = 3) -> DataFrame:
+    """(node, component) like components, but after a few rounds of neighbour minima only: nodes of one label are connected,
     nodes of one component need not have one label. Cheap, where knowing most connections is enough."""
     both = staged(
         edges.select(F.col(a).alias("s"), F.col(b).alias("t")).union(edges.select(F.col(b).alias("s"), F.col(a).alias("t"))).where("s <> t").distinct(), "edges"
     )
     label = staged(both.groupBy(F.col("s").alias("node")).agg(F.least("node", F.min("t")).alias("component")), "labels")
-    near = both.join(label, both.t == label.node).groupBy("s").agg(F.min("component").alias("m"))
-    return staged(label.join(near, F.col("node") == F.col("s")).select("node", F.least("component", "m").alias("component")), "labels")
+    for _ in range(rounds - 1):
+        near = both.join(label, both.t == label.node).groupBy("s").agg(F.min("component").alias("m"))
+        label = staged(label.join(near, F.col("node") == F.col("s")).select("node", F.least("component", "m").alias("component")), "labels")
+    return label

@@ -7,8 +7,8 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
 1. Documents with identical prefixes and size form a group, with identical sets a class within it. All later work is
    on groups and classes, so copies cost one row each.
 2. Prefix shingles found in one group only are dropped after a pre-aggregated count.
-3. Each remaining shingle ties its groups to its least group: one row for a group and shingle, however large the
-   group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
+3. Each remaining shingle ties its groups to its least group, and each band of minima its classes to two of them: one or
+   two rows each, however large the group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
    first components.
 4. While such ties leave many pairs between components, rounds of verifying each class with its best few leaders merge
    components further.
@@ -107,13 +107,32 @@ def _signature(values: np.ndarray, salt: int) -> np.int64:
     return mix(mix(values ^ np.uint64(salt)).sum(dtype=np.uint64)[None] + np.uint64(len(values)))[0].view(np.int64)
 
 
+def _bands(values: np.ndarray) -> list[int]:
+    """Hashes of short groups of minima of the set: similar sets share some. Only used to find most links cheaply."""
+    h = np.sort(mix(values & ~HOT))
+    out: list[int] = []
+    for bits, width, fits in ((5, 2, len(h) < 300), (6, 3, len(h) >= 150)):
+        if fits:
+            part, at = np.unique(h >> np.uint64(64 - bits), return_index=True)
+            least = np.zeros(1 << bits, np.uint64)
+            least[part.astype(np.int64)] = h[at]
+            n = (1 << bits) // width * width
+            groups = least[:n].reshape(-1, width)
+            full = (groups != 0).all(1)
+            keys = mix(groups[:, 0] * GRAM_A + groups[:, 1] * GRAM_B + (groups[:, 2] if width == 3 else np.uint64(7)) + np.arange(len(groups), dtype=np.uint64))
+            out += keys[full].view(np.int64).tolist()
+    return out
+
+
 def _profile(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     n, group, sig = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+    bands: list[list[int]] = [[] for _ in range(batch.num_rows)]
     for row, v in shingles(batch.column(1), plan, common):
         n[row] = len(v)
         if len(v):
             group[row], sig[row] = _signature(v[: plan.prefix(len(v))], 0x5EED) + len(v), _signature(v, 0xC1A55)
-    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(group), pa.array(sig)], ["id", "n", "g", "sig"])
+            bands[row] = _bands(v)
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(group), pa.array(sig), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "g", "sig", "bands"])
 
 
 def _prefixes(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -176,7 +195,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema["id"].dataType.simpleString()
     usable = docs.where("id is not null and text is not null")
     common = spark.sparkContext.broadcast(common_shingles(usable, "text", "id", plan))
-    profile = docs.mapInArrow(per_batch(lambda b: _profile(b, plan, common.value)), f"id {kind}, n long, g long, sig long")
+    profile = docs.mapInArrow(per_batch(lambda b: _profile(b, plan, common.value)), f"id {kind}, n long, g long, sig long, bands array<long>")
     profile = staged(profile, "profile")
     # classes of identical sets; a group's leader is its least class
     classes = profile.where("n > 0 and id is not null").groupBy("g", "n", "sig").agg(F.min("id").alias("x"))
@@ -196,7 +215,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Ties only have to give most first components, cheaply; what they miss is found by the last step.
     near = near.where(_enough(plan, "n1", "n2")).where(f"10 * c >= 3 * (least(n1, n2) - ceil({plan.num} * least(n1, n2) / {plan.den}) + 1)").select("x", "y")
     inner = classes.join(leaders, ["g", "n"]).where("x <> y").select("x", "y")
-    pairs = staged(near.union(inner).where("x <> y").distinct(), "ties")
+    pairs = staged(near.union(inner).union(_band_pairs(profile, classes, plan)).where("x <> y").distinct(), "ties")
     links = staged(verified(pairs, usable, plan), "links")
     finish_step(spark)
     first = near_components(links, "x", "y")
@@ -228,6 +247,16 @@ def _open(found: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
     return staged(spread.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).select("t", "x", "n", "k", "pos"), "open-shingles")
 
 
+def _band_pairs(profile: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """x, y: each class with the few leaders (least and greatest id) of its bands with which it shares most bands."""
+    own = profile.join(classes.select("g", "sig", "x"), ["g", "sig"]).where("id = x").select("x", "n", F.explode("bands").alias("b"))
+    ends = own.groupBy("b").agg(F.min(F.struct("x", "n")).alias("lo"), F.max(F.struct("x", "n")).alias("hi")).where("lo.x < hi.x")
+    ends = ends.select(F.col("b").bitwiseXOR(F.lit(1)).alias("c"), F.explode(F.array("lo", "hi")).alias("l"))
+    met = own.join(ends, F.col("b").bitwiseXOR(F.lit(1)) == F.col("c")).select("x", "n", F.col("l.x").alias("y"), F.col("l.n").alias("n2")).where(f"x <> y and {_sizes(plan)}")
+    best = met.groupBy("x", "y").agg(F.count("*").alias("c"))
+    return best.withColumn("i", F.row_number().over(W.partitionBy("x").orderBy(F.desc("c"), "y"))).where("i <= 3 and c >= 3").select("x", "y")
+
+
 def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """More links and larger components, while pairs between components are many for the shingles they come from.
 
