@@ -147,6 +147,10 @@ SQL: dict[str, str] = {
         "SELECT path_id, (count(*) FILTER (pos < 9))::INTEGER AS back, (count(*) FILTER (pos > 9))::INTEGER AS front, (count(*) FILTER (pos <= 9))::INTEGER AS back_kept FROM path_steps WHERE path_id % 2 = 1 GROUP BY path_id"
     ),
     "path_trim_by_length": _base("SELECT path_id, count(*) AS n_steps FROM starts JOIN texts USING (path_id) WHERE length(text) - start > 20 GROUP BY path_id"),
+    "edge_kmers": _base("SELECT path_id, arg_min(node_id, text_pos) AS node_id, arg_min(node_offset, text_pos) AS node_offset FROM path_kmers GROUP BY path_id"),
+    "path_mappings": _base("SELECT path_id, pos + 1 AS rank, node_id, size AS n_bases FROM starts"),
+    "path_marked": _base("SELECT path_id, count(*) FILTER (size > 1) AS n_marked FROM starts GROUP BY path_id"),
+    "induced_nodes": _base("SELECT DISTINCT node_id FROM path_steps WHERE path_id % 2 = 0"),
     "seeds_on_paths": _base(_ON),
     "seeds_on_paths_limited": _base(_ON + " WHERE gocc <= 1"),
     "seeds_all_loci": _base(

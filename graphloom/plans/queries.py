@@ -248,6 +248,33 @@ def path_trim_by_length(spark: SparkSession, d: str) -> DataFrame:
     return paths.trimmed_by_length(starts, 20, hard=False).groupBy("path_id").agg(F.count("*").alias("n_steps"))
 
 
+@query
+def edge_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """The locus of each path's first k-mer."""
+    return paths.edge_kmers(workload.path_steps(spark, d), workload.nodes(spark, d), K)
+
+
+@query
+def path_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """The mappings of every path, one a row."""
+    m = paths.mappings(workload.path_steps(spark, d), workload.nodes(spark, d)).select("path_id", F.explode("mapping").alias("m"))
+    return m.select("path_id", F.col("m.rank").cast("long").alias("rank"), "m.node_id", F.col("m.edit")[0]["from_length"].cast("long").alias("n_bases"))
+
+
+@query
+def path_marked(spark: SparkSession, d: str) -> DataFrame:
+    """How many edits begin at a marked locus, on each path; every node's second base is marked."""
+    n = workload.nodes(spark, d)
+    marks = graph.loci(n).where("node_offset = 1")
+    e = paths.marked_mappings(workload.path_steps(spark, d), n, marks)
+    return e.groupBy("path_id").agg(F.sum(F.size(F.filter("edits", lambda x: x["sequence"] == "S"))).alias("n_marked"))
+
+
+@query
+def induced_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.induced_nodes(workload.path_steps(spark, d).where("path_id % 2 = 0"))
+
+
 # --- seeds -----------------------------------------------------------------------------------------------------------
 
 

@@ -111,3 +111,19 @@ def test_metrics(spark):
     h = {(r.bin, r.n) for r in metrics.histogram(spark.createDataFrame([(1,), (2,), (3,), (9,)], "x int"), "x", 2).collect()}
     assert h == {(0, 1), (2, 2), (8, 1)}
     assert tiny.TEXTS[0] == "CAAATAAG"
+
+
+def test_neighbouring_tags(spark):
+    rows = [(0, "r", {"fn": "1"}), (1, "r", {"fp": "1"}), (2, "r", {"fn": "1"}), (4, "r", {"fp": "1"}), (5, "q", {})]
+    df = spark.createDataFrame(rows, "line long, q_name string, tag_az map<string,string>")
+    assert [tuple(r) for r in alignments.missed_tags(df).collect()] == [(0, 1)]
+
+
+def test_containment_and_algebra(spark):
+    p = F.array(*map(F.lit, (1, 3, 5, 3, 6)))
+    r = spark.range(1).select(
+        paths.contains_run(p, F.array(F.lit(5), F.lit(3))).alias("a"), paths.contains_run(p, F.array(F.lit(1), F.lit(5))).alias("b"), paths.contains_all(p, F.array(F.lit(6), F.lit(1))).alias("c"),
+        paths.trimmed_back(p, F.lit(3)).alias("d"), paths.trimmed_back(p, F.lit(3), False).alias("e"), paths.trimmed_front(p, F.lit(3)).alias("f"), paths.trimmed_front(p, F.lit(9)).alias("g"),
+        paths.contains_by_rank(F.array(F.lit(1), F.lit(2), F.lit(4)), F.array(F.lit(1), F.lit(4))).alias("h"),
+    ).first()
+    assert tuple(r) == (True, False, True, [1, 3, 5], [1, 3, 5, 3], [5, 3, 6], [1, 3, 5, 3, 6], False)
