@@ -5,7 +5,7 @@ roles and class names show to be menus, headers, footers, sidebars, notices, adv
 comments. Templates without such marks are found by recurrence: every element subtree is hashed (tag, class, id and
 text), Spark counts per host on how many pages of different content each subtree occurs, and subtrees that recur on
 many of them are deleted. Pages of equal content count once, so copies of an article do not make it a template, and
-paragraphs inside an article are never taken for one.
+paragraphs inside an article or main element are never taken for one.
 
 Defined cases. Null or blank html gives an empty text; a null or odd url has the host ''. Broken markup is read as
 browsers do in the common cases (unclosed paragraphs and list items, stray end tags, unquoted attributes, comments
@@ -180,7 +180,7 @@ def text_blocks(nodes: list[Node], templates: frozenset[int] | set[int]) -> list
                 flush()
 
     for node in nodes:
-        walk(node, node.tag == "article")
+        walk(node, node.tag in ("article", "main"))
         flush()
     return out
 
@@ -209,7 +209,7 @@ def _subtrees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hash_subtrees(root)
         own = contents(root)
         content = int.from_bytes(hashlib.blake2b("\n".join(text_blocks(own, frozenset())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        article = own[0].tag == "article"
+        article = own[0].tag in ("article", "main")
         seen = set(_elements(own, True)) if article else set()
         seen |= set(_elements([root], False))
         rows += [(host, node, block, content) for node, block in seen]
