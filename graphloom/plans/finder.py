@@ -102,3 +102,11 @@ class SeedFinder:
             raise ValueError("the index has no distances")
         return distance.verify(pairs, i.distances, self.params.dmin, self.params.dmax or self.params.dmin)
 
+    def stats(self) -> DataFrame:
+        """n_paths, n_bases, context, n_uncovered, n_start_nodes, n_loci of the index."""
+        i = self._built()
+        spark = self.nodes.sparkSession
+        texts = paths.length(paths.step_starts(i.path_steps, self.nodes, i.ends)).agg(F.count("*"), F.coalesce(F.sum("n_bases"), F.lit(0))).first()
+        bare = i.loci.agg(F.count("*"), F.countDistinct("node_id")).first()
+        every = self.nodes.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+        return spark.createDataFrame([(texts[0], texts[1], self.params.flank, bare[0], bare[1], every)], "n_paths long, n_bases long, context int, n_uncovered long, n_start_nodes long, n_loci long")

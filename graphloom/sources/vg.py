@@ -163,3 +163,24 @@ def path_alignments(paths: DataFrame) -> DataFrame:
             yield pd.DataFrame({"content": [stream(parts)]})
 
     return paths.select("path_id", "text", "mapping").mapInPandas(run, "content binary")
+
+
+def graph_chunks(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """content: gzipped streams of one graph message for every `most` ranks; an edge is in the chunk of its source."""
+    n = nodes.select(F.floor(F.col("rank") / most).alias("chunk"), "node_id", "seq", F.lit(None).cast("long").alias("dst"))
+    e = edges.join(nodes.select(F.col("node_id").alias("src"), "rank"), "src").select(F.floor(F.col("rank") / most).alias("chunk"), F.col("src").alias("node_id"), F.lit(None).cast("string").alias("seq"), "dst")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, links = pdf[pdf["dst"].isna()], pdf[pdf["dst"].notna()]
+        graph = {
+            "node": [{"id": int(i), "sequence": s} for i, s in zip(own["node_id"], own["seq"], strict=True)],
+            "edge": [{"from": int(a), "to": int(b)} for a, b in zip(links["node_id"], links["dst"], strict=True)],
+        }
+        return pd.DataFrame({"content": [stream([encode(graph, "Graph")])]})
+
+    return n.union(e).groupBy("chunk").applyInPandas(run, "content binary")
+
+
+def write_streams(df: DataFrame, path: str) -> None:
+    """The streams (column content) as one Parquet table of binaries; gzip streams may be put one after the other."""
+    df.select("content").write.mode("overwrite").parquet(path)

@@ -4,9 +4,11 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
+from graphloom.model import Params
 from graphloom.operators import alignments, metrics, paths, simulate
 from graphloom.plans import queries
-from graphloom.sources import gaf, gfa, logs, reads, vg
+from graphloom.plans.finder import SeedFinder
+from graphloom.sources import gaf, gfa, logs, reads, tables, vg
 from graphloom.streaming import seeds as streaming
 
 
@@ -127,3 +129,22 @@ def test_containment_and_algebra(spark):
         paths.contains_by_rank(F.array(F.lit(1), F.lit(2), F.lit(4)), F.array(F.lit(1), F.lit(4))).alias("h"),
     ).first()
     assert tuple(r) == (True, False, True, [1, 3, 5], [1, 3, 5, 3], [5, 3, 6], [1, 3, 5, 3, 6], False)
+
+
+def test_graph_chunks_and_loci_files(spark, tmp_path):
+    n, e = tiny.nodes(spark), tiny.edges(spark)
+    rows = vg.graph_chunks(n, e, 4).collect()
+    assert len(rows) == 4
+    (tmp_path / "g.vg").write_bytes(b"".join(bytes(r.content) for r in rows))
+    nodes, edges, _ = vg.read_graph(spark, f"file://{tmp_path}/g.vg")
+    assert nodes.count() == 15 and edges.count() == 20
+    loci = spark.createDataFrame([(1, 2)], "node_id long, node_offset int")
+    tables.write_json(loci, f"file://{tmp_path}/loci.json")
+    assert tables.read_loci(spark, f"file://{tmp_path}/loci.json", "json").collect() == loci.collect()
+
+
+def test_index_stats(spark):
+    f = SeedFinder(tiny.nodes(spark), tiny.edges(spark), Params(12, paths=1))
+    f.build()
+    s = f.stats().first()
+    assert (s.n_paths, s.n_bases, s.context, s.n_loci) == (1, 50, 12, 55) and s.n_uncovered > 0
