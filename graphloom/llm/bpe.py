@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import LOWER, Words, as_long, blocks, per_batch, staged
+from graphloom.llm.common import LOWER, Words, as_long, blocks, per_batch, release, staged
 
 
 _LETTER = np.zeros(256, bool)
@@ -61,6 +61,14 @@ def tokenizer(path: str):
     return tok
 
 
+def ids_of_words(words: list[str], path: str, at_a_time: int = 1000) -> list[list[int]]:
+    """Each word's ids; few words at a time, since the library's results are large."""
+    out: list[list[int]] = []
+    for i in range(0, len(words), at_a_time):
+        out += [e.ids for e in tokenizer(path).encode_batch_fast(words[i : i + at_a_time], add_special_tokens=False)]
+    return out
+
+
 @lru_cache(maxsize=4)
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The id-to-piece table: UTF-8 bytes of every piece followed by a space, and their bounds by id."""
@@ -139,7 +147,7 @@ class Encoder:
         if new.any():
             raw = words.buf.tobytes()
             text = [raw[words.start[i] : words.end[i]].decode("utf-8", "replace") for i in first[new]]
-            encoded = [e.ids for e in tokenizer(self.path).encode_batch_fast(text, add_special_tokens=False)]
+            encoded = ids_of_words(text, self.path)
             self.rare = self.rare.and_(Table.of(distinct[new], encoded, self.path, self.pieces_too))
         return self._joined(distinct, back)
 
@@ -181,7 +189,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", max_words: in
     shared = words.where(F.col("n") * max_words > total)
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = [e.ids for e in tokenizer(path).encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)]
+        ids = ids_of_words(batch.column(1).to_pylist(), path)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["h", "ids"])
 
     got = shared.select("h", "word").mapInArrow(per_batch(encode), "h long, ids array<int>").toArrow()
@@ -200,6 +208,7 @@ def encode_digests(docs: DataFrame, path: str, keep: list[str], text_col: str =
                 a, b = ([hashlib.sha256(x[e[d] : max(e[d], e[d + 1] - cut)]).hexdigest() for d in range(hi - lo)] for x, e, cut in ((ids, bound, 0), (text, at, 1)))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bound)), pa.array(a, pa.string()), pa.array(b, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     fields = [*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))

@@ -6,6 +6,7 @@ passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.shipping import ship
 
 _OWN_DIR: list[str] = []
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -192,10 +194,18 @@ def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
+            release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
 # --- fixed-size filters ----------------------------------------------------------------------------------------------
 
 FILTER_BITS = 1 << 23

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.bpe import BLOCK, Encoder, tokenizer_words
-from graphloom.llm.common import blocks, staged
+from graphloom.llm.common import blocks, release, staged
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -176,6 +176,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece.astype(np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (start, length, crc, np.full(len(doc), part), nth))],
                     [f.name for f in fields],
                 )
+            release()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
