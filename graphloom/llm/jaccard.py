@@ -6,7 +6,8 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
 
 1. Documents with identical prefixes and size form a group, with identical sets a class within it. All later work is
    on groups and classes, so copies cost one row each.
-2. Prefix shingles found in one group only are dropped after a pre-aggregated count.
+2. Prefix shingles found in one group only are dropped after a pre-aggregated count, unless the group has several classes:
+   these share them, and a group's leader need not be linked with all of them.
 3. Each remaining shingle ties its groups to its least group, and each band of minima its classes to two of them: one or
    two rows each, however large the group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
    first components.
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -207,6 +209,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = rows.groupBy("t").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
     shared = shared.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), "least")
     found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).groupBy("t", "g").agg(F.min("least").alias("least"), F.min("pos").alias("pos"))
+    # a group of several classes keeps its whole prefix, which its classes share; null: no other group needs to have it
+    inside = _inside(classes, usable, plan, common).withColumn("least", F.lit(None).cast("long"))
+    found = found.unionByName(inside).groupBy("t", "g").agg(F.min("least").alias("least"), F.min("pos").alias("pos"))
     found = staged(found, "prefix-shingles")
     finish_step(spark)
     ties = found.where("g <> least").groupBy("g", "least").agg(F.count("*").alias("c"))
@@ -239,6 +244,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return by_row.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _inside(classes: DataFrame, docs: DataFrame, plan: Plan, common: Broadcast) -> DataFrame:
+    """t, g, pos: the prefixes of groups with several classes, read from the text of each group's least class."""
+    several = staged(classes.groupBy("g", "n").agg(F.min("x").alias("id"), F.count("*").alias("m")).where("m > 1").select("g", "id"), "several")
+    needed = docs.sparkSession.sparkContext.broadcast(IdFilter(several, "id"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        part = batch.filter(pa.array(needed.value.passing(batch.column(0), batch.column(1)))).select([2])
+        yield from _prefixes(part, plan, common.value)
+
+    h, b = IdFilter.keys(F.col("id"))
+    rows = docs.select(h.alias("h"), b.alias("b"), "text").mapInArrow(per_batch(run), "t long, g long, pos int")
+    return rows.join(several, "g", "left_semi").groupBy("t", "g").agg(F.min("pos").alias("pos"))
+
+
 def _open(found: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
     """t, x, n, k, pos: the prefix shingles that classes of several components share."""
     node = classes.join(label, classes.x == label.node, "left").select("g", "x", "n", F.coalesce("component", "x").alias("k"))

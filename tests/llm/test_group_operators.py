@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import by_row, words_of
 from pyspark.sql import functions as F
@@ -81,6 +82,21 @@ def test_jaccard_of_many_near_copies(ready):
     assert got == plain_jaccard(rows)
 
 
+@pytest.mark.parametrize("plan", [jaccard.Plan(), jaccard.Plan(sample=0, common=1), jaccard.Plan(sample=0, common=1, rounds=0)])
+def test_jaccard_of_short_chains_in_one_group(ready, plan):
+    """A is linked with B and B with C, but not A with C; many of the chains have one prefix, and A is the least id."""
+    rows = []
+    for g in range(120):
+        b = [f"c{g}w{i}" for i in range(24)]
+        for t in ([*b[:-2], f"c{g}x", f"c{g}y"], b, [f"c{g}z", *b[1:]]):
+            rows.append((len(rows), " ".join(t)))
+    one = [{jaccard._signature(v[: plan.prefix(len(v))], 0) for _, v in jaccard.shingles(pa.array([t for _, t in rows[i : i + 3]]), plan)} for i in range(0, len(rows), 3)]
+    assert sum(len(s) == 1 for s in one) >= 5
+    df = ready.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.id, r.n_shingles, r.component_id) for r in jaccard.similar_components(df, plan=plan).collect())
+    assert got == plain_jaccard(rows)
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------------
 
 
