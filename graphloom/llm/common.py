@@ -7,8 +7,8 @@ passes and no Python object is made per word.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,36 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.shipping import ship
+from graphloom.staging import staged
 
-_OWN_DIR: list[str] = []
 _LIBC = ctypes.CDLL(None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    if said := spark.conf.get("spark.checkpoint.dir", None):
-        return said.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
-    return _OWN_DIR[0]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and gives the planner real sizes.
-
-    The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the workers, and let an Arrow batch hold few enough rows for long texts."""
+    """Send the package to the workers, and let an Arrow batch hold few enough rows for long texts.
+
+    What steps before this one have left in the driver is given back first."""
+    finish_step(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -62,24 +42,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 GRAM_A, GRAM_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        got = np.ones(size, np.uint64)
-        done = 1
-        while done < size:
-            got[done : 2 * done] = got[:done] * np.uint64(pow(base, done, 1 << 64))
-            done *= 2
-        _powers[base] = got
-    return got[:n]
+#: Words of more bytes are hashed one by one with BLAKE2.
+LONG_WORD = 1024
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,6 +54,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time, a bijective mix after each.
+
+    Different spans of one length up to eight bytes never clash; any others do with a chance of 2**-64 a pair, whatever
+    their structure (a polynomial modulo 2**64 has no such bound: Thue-Morse words clash under every base).
+    """
+    size = end - start
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        chunk = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        h[live] = mix(h[live] ^ chunk)
+        at += 8
+        live = live[(size[live] > at) & (size[live] <= LONG_WORD)]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole texts of about limit bytes: (first row, end row, bytes, offsets). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -116,7 +104,6 @@ class Words:
     def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True, cut: np.ndarray | None = None) -> None:
         """cut: bytes at which a new word begins even without white space before."""
         self.buf, self.offs = LOWER[buf] if lower else buf, offs
-        n = len(buf)
         self.white = white = WHITE[buf]
         begins, ends = ~white, ~white
         begins[1:] &= white[:-1]
@@ -130,10 +117,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offs)
         if hashed:
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.buf + np.uint64(1)) * _power(_BASE, n), out=total[1:])
-            h = (total[self.end] - total[self.start]) * _power(_BASE_INVERSE, n + 1)[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+            self.hash = word_hashes(self.buf, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -164,10 +148,11 @@ def grams(h: np.ndarray, k: int, factor: np.uint64) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = h[:n].copy()
+    total = mix(h[:n] ^ factor)
     for j in range(1, k):
-        total *= factor
         total += h[j : j + n]
+        total *= factor
+        total ^= total >> np.uint64(32)
     return mix(total)
 
 
@@ -238,10 +223,10 @@ class IdFilter:
 
 
 def finish_step(spark: SparkSession) -> None:
-    """Have the JVM collect its garbage, so that Spark deletes the shuffle files of steps whose results are written."""
-    import gc
-
+    """Have the JVM collect its garbage, so that Spark deletes the shuffle files and broadcasts of steps whose results are
+    written, and give the driver's freed memory back."""
     gc.collect()
+    release()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -6,22 +6,22 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
 
 1. Documents with identical prefixes and size form a group, with identical sets a class within it. All later work is
    on groups and classes, so copies cost one row each.
-2. Prefix shingles found in one group only are dropped after a pre-aggregated count, unless the group has several classes:
-   these share them, and a group's leader need not be linked with all of them.
-3. Each remaining shingle ties its groups to its least group, and each band of minima its classes to two of them: one or
-   two rows each, however large the group. The ties that share three tenths of a prefix, and the classes inside each group, are verified on whole texts and give
-   first components.
-4. While such ties leave many pairs between components, rounds of verifying each class with its best few leaders merge
-   components further.
-5. Completeness: classes of different first components that share a prefix shingle, at a place that leaves room for the others a link needs, are paired, the number c of shared ones
-   is counted, and pairs with c + max(n - prefix) below the least overlap are dropped (an upper bound of the overlap, so
-   no link is lost). The rest are verified. Pairs inside a component need no check: they cannot change it.
-
-The order only steers cost. Whatever the sample shows, every link between components is found.
+2. Prefix shingles of one group only are dropped after a pre-aggregated count. The others form one list a group.
+3. Rounds. Every shingle names one of its groups, another in each round, and each group is compared with the few named
+   groups of other components with which it shares most shingles: a number of pairs in proportion to the input. Pairs
+   that share enough prefix shingles for a link are verified on whole texts, and components grow. In the first round
+   the classes of a group are also compared with its first class. Rounds end when one finds few links for its pairs.
+4. Completeness. Groups that hold several components between them and share a prefix shingle are paired. Each pair is
+   made at the first shingle the two share only (not where one of the shingles before it is shared too), and only if
+   the size and the places leave room for a link. Pairs that share enough prefix shingles (an upper bound of the
+   overlap, so no link is lost) are expanded to their classes, which are verified if they are of different components.
+
+The order, the sample and the rounds only steer cost: every link between components is found, whatever they are.
 
 Defined cases. Null and blank texts have an empty set and are linked with nothing. Rows that share an id are one node,
 with the links of all its texts. A null id is linked with nothing and its component is null. Texts of fewer than k words
-have one shingle, their whole sequence.
+have one shingle, their whole sequence. Very long texts are read in whole, one at a time. An empty table gives an empty
+result. Only the id and the text are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,16 +42,18 @@ HOT = np.uint64(1 << 63)
 
 @dataclass(frozen=True)
 class Plan:
-    """k words a shingle; similarity at least num/den; shingles in at least common of about sample documents go last;
-    leaders and rounds: see _grown."""
+    """k words a shingle; similarity at least num/den; shingles in at least common of about sample documents go last.
+    best: how many named groups a group is compared with in a round; worth: a round follows one that found a link in
+    every so many pairs; before: how many shingles before a shared one are looked at in step 4."""
 
     k: int = 5
     num: int = 75
     den: int = 100
     sample: int = 20_000
     common: int = 3
-    leaders: int = 8
-    rounds: int = 1
+    best: int = 3
+    worth: int = 10
+    before: int = 6
 
     def prefix(self, n: int) -> int:
         return n - (self.num * n + self.den - 1) // self.den + 1
@@ -109,32 +110,13 @@ def _signature(values: np.ndarray, salt: int) -> np.int64:
     return mix(mix(values ^ np.uint64(salt)).sum(dtype=np.uint64)[None] + np.uint64(len(values)))[0].view(np.int64)
 
 
-def _bands(values: np.ndarray) -> list[int]:
-    """Hashes of short groups of minima of the set: similar sets share some. Only used to find most links cheaply."""
-    h = np.sort(mix(values & ~HOT))
-    out: list[int] = []
-    for bits, width, fits in ((5, 2, len(h) < 300), (6, 3, len(h) >= 150)):
-        if fits:
-            part, at = np.unique(h >> np.uint64(64 - bits), return_index=True)
-            least = np.zeros(1 << bits, np.uint64)
-            least[part.astype(np.int64)] = h[at]
-            n = (1 << bits) // width * width
-            groups = least[:n].reshape(-1, width)
-            full = (groups != 0).all(1)
-            keys = mix(groups[:, 0] * GRAM_A + groups[:, 1] * GRAM_B + (groups[:, 2] if width == 3 else np.uint64(7)) + np.arange(len(groups), dtype=np.uint64))
-            out += keys[full].view(np.int64).tolist()
-    return out
-
-
 def _profile(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     n, group, sig = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-    bands: list[list[int]] = [[] for _ in range(batch.num_rows)]
     for row, v in shingles(batch.column(1), plan, common):
         n[row] = len(v)
         if len(v):
             group[row], sig[row] = _signature(v[: plan.prefix(len(v))], 0x5EED) + len(v), _signature(v, 0xC1A55)
-            bands[row] = _bands(v)
-    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(group), pa.array(sig), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "g", "sig", "bands"])
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(group), pa.array(sig)], ["id", "n", "g", "sig"])
 
 
 def _prefixes(batch: pa.RecordBatch, plan: Plan, common: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -197,111 +179,85 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema["id"].dataType.simpleString()
     usable = docs.where("id is not null and text is not null")
     common = spark.sparkContext.broadcast(common_shingles(usable, "text", "id", plan))
-    profile = docs.mapInArrow(per_batch(lambda b: _profile(b, plan, common.value)), f"id {kind}, n long, g long, sig long, bands array<long>")
-    profile = staged(profile, "profile")
-    # classes of identical sets; a group's leader is its least class
-    classes = profile.where("n > 0 and id is not null").groupBy("g", "n", "sig").agg(F.min("id").alias("x"))
-    classes = staged(classes, "classes")
-    leaders = classes.groupBy("g", "n").agg(F.min("x").alias("y"))
+    profile = staged(docs.mapInArrow(per_batch(lambda b: _profile(b, plan, common.value)), f"id {kind}, n long, g long, sig long"), "profile")
+    # classes of identical sets, x being the least id; a group is led by its least class
+    classes = staged(profile.where("n > 0 and id is not null").groupBy("g", "n", "sig").agg(F.min("id").alias("x")), "classes")
+    leaders = classes.groupBy("g").agg(F.min("x").alias("y"), F.first("n").alias("n"))
 
     rows = usable.select("text").mapInArrow(per_batch(lambda b: _prefixes(b, plan, common.value)), "t long, g long, pos int")
     # the count's key is changed, so that the join deals both sides anew and can split a frequent shingle
-    shared = rows.groupBy("t").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
-    shared = shared.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), "least")
-    found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).groupBy("t", "g").agg(F.min("least").alias("least"), F.min("pos").alias("pos"))
-    # a group of several classes keeps its whole prefix, which its classes share; null: no other group needs to have it
-    inside = _inside(classes, usable, plan, common).withColumn("least", F.lit(None).cast("long"))
-    found = found.unionByName(inside).groupBy("t", "g").agg(F.min("least").alias("least"), F.min("pos").alias("pos"))
-    found = staged(found, "prefix-shingles")
+    shared = rows.groupBy("t").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"))
+    found = rows.join(shared, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u"), "left_semi").groupBy("g", "t").agg(F.min("pos").alias("pos"))
+    lists = found.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l")).join(leaders.withColumnRenamed("g", "lg"), F.col("g") == F.col("lg"))
+    lists = staged(lists.select("g", "n", "y", F.col("l.pos").alias("places"), F.col("l.t").alias("ts")), "prefix-lists")
     finish_step(spark)
-    ties = found.where("g <> least").groupBy("g", "least").agg(F.count("*").alias("c"))
-    one, two = (leaders.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("y").alias(s)) for i, s in ((1, "x"), (2, "y")))
-    near = ties.join(one, F.col("g") == F.col("g1")).join(two, F.col("least") == F.col("g2"))
-    # Ties only have to give most first components, cheaply; what they miss is found by the last step.
-    near = near.where(_enough(plan, "n1", "n2")).where(f"10 * c >= 3 * (least(n1, n2) - ceil({plan.num} * least(n1, n2) / {plan.den}) + 1)").select("x", "y")
-    inner = classes.join(leaders, ["g", "n"]).where("x <> y").select("x", "y")
-    pairs = staged(near.union(inner).union(_band_pairs(profile, classes, plan)).where("x <> y").distinct(), "ties")
-    links = staged(verified(pairs, usable, plan), "links")
+
+    inner = classes.join(leaders.select("g", "y"), "g").where("x <> y").select("x", "y")
+    links, label = inner.limit(0), None
+    for turn in range(8):
+        pairs = _named(lists, label, turn, plan)
+        pairs = staged((pairs if turn else pairs.union(inner)).distinct(), "pairs")
+        new = staged(verified(pairs, usable, plan), "links")
+        n, tried = new.count(), pairs.count()
+        links = staged(links.union(new), "links")
+        label = near_components(links, "x", "y")
+        finish_step(spark)
+        if plan.worth * n <= tried:
+            break
+
+    survivors = staged(_survivors(lists, classes, label, plan), "near-pairs")
+    more = staged(verified(survivors, usable, plan), "links")
     finish_step(spark)
-    first = near_components(links, "x", "y")
-    links, open_rows = _grown(links, first, found, classes, usable, plan)
-    # Completeness between the components so far. Linked sets share at least `least` prefix shingles, so the first one
-    # they share has as many places behind it in both prefixes: only such shingles need to meet.
-    other = open_rows.select(F.col("t").alias("s"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("pos").alias("pos2"))
-    least, p, p2 = f"greatest(1, {plan.overlap_at_least('n', 'n2')} - greatest({plan.beyond('n')}, {plan.beyond('n2')}))", f"n - {plan.beyond('n')}", f"n2 - {plan.beyond('n2')}"
-    cross = open_rows.join(other, F.col("t") == F.col("s")).where(f"k < k2 and {_sizes(plan)} and pos + {least} <= {p} and pos2 + {least} <= {p2}")
-    cross = staged(cross.select("x", "n", "y", "n2").distinct(), "cross-pairs")
-    tokens = open_rows.groupBy("x").agg(F.collect_set("t").alias("ts"))
-    counted = cross.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("ts").alias("ts2")), "y")
-    cross = counted.withColumn("c", F.size(F.array_intersect("ts", "ts2"))).where(_enough(plan, "n", "n2")).select("x", "y")
-    more = staged(verified(staged(cross, "near-pairs"), usable, plan), "links")
     last = components(links.union(more), "x", "y")
-    label = classes.join(last, classes.x == last.node, "left").select(
-        F.col("g").alias("cg"), F.col("sig").alias("csig"), F.col("x").alias("cx"), F.coalesce("component", "x").alias("component")
+    common.destroy()
+    labelled = classes.join(last, classes.x == last.node, "left").select(
+        F.col("g").alias("cg"), F.col("sig").alias("csig"), F.col("n").alias("cn"), F.coalesce("component", "x").alias("component")
     )
     # rows with one id and several texts take the least of their components
-    by_row = profile.join(label, (profile.g == label.cg) & (profile.sig == label.csig) & (profile.n > 0) & profile.id.isNotNull(), "left")
+    by_row = profile.join(labelled, (profile.g == labelled.cg) & (profile.sig == labelled.csig) & (profile.n == labelled.cn) & profile.id.isNotNull(), "left")
     return by_row.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _inside(classes: DataFrame, docs: DataFrame, plan: Plan, common: Broadcast) -> DataFrame:
-    """t, g, pos: the prefixes of groups with several classes, read from the text of each group's least class."""
-    several = staged(classes.groupBy("g", "n").agg(F.min("x").alias("id"), F.count("*").alias("m")).where("m > 1").select("g", "id"), "several")
-    needed = docs.sparkSession.sparkContext.broadcast(IdFilter(several, "id"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        part = batch.filter(pa.array(needed.value.passing(batch.column(0), batch.column(1)))).select([2])
-        yield from _prefixes(part, plan, common.value)
-
-    h, b = IdFilter.keys(F.col("id"))
-    rows = docs.select(h.alias("h"), b.alias("b"), "text").mapInArrow(per_batch(run), "t long, g long, pos int")
-    return rows.join(several, "g", "left_semi").groupBy("t", "g").agg(F.min("pos").alias("pos"))
-
-
-def _open(found: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
-    """t, x, n, k, pos: the prefix shingles that classes of several components share."""
-    node = classes.join(label, classes.x == label.node, "left").select("g", "x", "n", F.coalesce("component", "x").alias("k"))
-    spread = found.join(node, "g").select("t", "x", "n", "k", "pos")
-    mixed = spread.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"))
-    return staged(spread.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).select("t", "x", "n", "k", "pos"), "open-shingles")
-
-
-def _band_pairs(profile: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """x, y: each class with the few leaders (least and greatest id) of its bands with which it shares most bands."""
-    own = profile.join(classes.select("g", "sig", "x"), ["g", "sig"]).where("id = x").select("x", "n", F.explode("bands").alias("b"))
-    ends = own.groupBy("b").agg(F.min(F.struct("x", "n")).alias("lo"), F.max(F.struct("x", "n")).alias("hi")).where("lo.x < hi.x")
-    ends = ends.select(F.col("b").bitwiseXOR(F.lit(1)).alias("c"), F.explode(F.array("lo", "hi")).alias("l"))
-    met = own.join(ends, F.col("b").bitwiseXOR(F.lit(1)) == F.col("c")).select("x", "n", F.col("l.x").alias("y"), F.col("l.n").alias("n2")).where(f"x <> y and {_sizes(plan)}")
-    best = met.groupBy("x", "y").agg(F.count("*").alias("c"))
-    return best.withColumn("i", F.row_number().over(W.partitionBy("x").orderBy(F.desc("c"), "y"))).where("i <= 3 and c >= 3").select("x", "y")
-
-
-def _grown(links: DataFrame, label: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """More links and larger components, while pairs between components are many for the shingles they come from.
-
-    Each round takes up to plan.leaders classes of each shingle, by a hash of the round, and verifies each class with the
-    three of them (of other components) with which it shares most shingles: a number of rows and pairs in proportion to
-    the input. It returns the links and the open shingles; only the number of rounds depends on luck.
-    """
-    for turn in range(plan.rounds):
-        rows = _open(found, classes, label)
-        met = rows.groupBy("t", "k").agg(F.count("*").alias("m")).groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        pairs, n = met.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-        if not n or pairs <= 2 * n:
-            return links, rows
-        order = F.xxhash64("x", F.lit(turn))
-        lead = rows.groupBy("t", F.pmod(order, F.lit(plan.leaders)).alias("b")).agg(F.min_by(F.struct("x", "n", "k"), order).alias("l"))
-        lead = lead.select(F.col("t").bitwiseXOR(F.lit(1)).alias("s"), F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.k").alias("k2"))
-        near = rows.join(lead, F.col("t").bitwiseXOR(F.lit(1)) == F.col("s")).where(f"k <> k2 and {_sizes(plan)}")
-        near = near.groupBy("x", "n", "y", "n2").agg(F.count("*").alias("c")).where(_enough(plan, "n", "n2"))
-        best = near.withColumn("i", F.row_number().over(W.partitionBy("x").orderBy(F.desc("c"), "y"))).where("i <= 3").select("x", "y")
-        new = staged(verified(staged(best, "best-pairs"), docs, plan), "links")
-        if new.isEmpty():
-            return links, rows
-        links = staged(links.union(new), "links")
-        label = near_components(links, "x", "y")
-        finish_step(docs.sparkSession)
-    return links, _open(found, classes, label)
+def _named(lists: DataFrame, label: DataFrame | None, turn: int, plan: Plan) -> DataFrame:
+    """x, y: the first classes of groups of different components, each group with the best few groups that its shingles name."""
+    if label is None:
+        led = lists.withColumn("k", F.col("y"))
+    else:
+        led = lists.join(label, F.col("y") == F.col("node"), "left").withColumn("k", F.coalesce("component", "y"))
+    rows = led.select("g", "n", "k", F.explode("ts").alias("t"))
+    order = F.xxhash64("g", F.lit(turn))
+    name = rows.groupBy("t").agg(F.min_by(F.struct("g", "n", "k"), order).alias("h"))
+    name = name.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), F.col("h.g").alias("g2"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"))
+    met = rows.join(name, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).where(f"k <> k2 and {_sizes(plan)}")
+    best = met.groupBy("g", "g2").agg(F.count("*").alias("c"))
+    best = best.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy(F.desc("c"), "g2"))).where(F.col("i") <= plan.best)
+    return _sharing(best.select("g", "g2"), lists, plan).select("x", "y")
+
+
+def _sharing(pairs: DataFrame, lists: DataFrame, plan: Plan) -> DataFrame:
+    """g, g2, x, y: those pairs of groups that share enough prefix shingles for a link; x and y are their first classes."""
+    other = lists.select(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("y").alias("z"), F.col("ts").alias("ts2"))
+    both = pairs.join(lists.select("g", "n", F.col("y").alias("x"), "ts"), "g").join(other, "g2")
+    return both.withColumn("c", F.size(F.array_intersect("ts", "ts2"))).where(_enough(plan, "n", "n2")).select("g", "g2", "x", F.col("z").alias("y"))
+
+
+def _survivors(lists: DataFrame, classes: DataFrame, label: DataFrame, plan: Plan) -> DataFrame:
+    """x, y: classes of different components whose groups share enough prefix shingles for a link."""
+    node = classes.join(label, classes.x == label.node, "left").select("g", "x", F.coalesce("component", "x").alias("k"))
+    spans = node.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    rows = lists.join(spans, "g").select("g", "n", "lo", "hi", "ts", F.posexplode(F.arrays_zip("places", "ts")).alias("i", "e"))
+    before = F.slice("ts", F.greatest(F.lit(1), F.col("i") + 1 - plan.before), F.least(F.col("i"), F.lit(plan.before)))
+    rows = rows.select("g", "n", "lo", "hi", F.col("e.ts").alias("t"), F.col("e.places").alias("pos"), before.alias("before"))
+    mixed = rows.groupBy("t").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"))
+    rows = staged(rows.join(mixed, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u"), "left_semi"), "open-shingles")
+    other = rows.select(F.col("t").alias("s"), *(F.col(c).alias(f"{c}2") for c in ("g", "n", "lo", "hi", "pos", "before")))
+    # Linked sets share at least `least` prefix shingles, so the first they share has as many places behind it in both.
+    least, p, p2 = f"greatest(1, {plan.overlap_at_least('n', 'n2')} - greatest({plan.beyond('n')}, {plan.beyond('n2')}))", f"n - {plan.beyond('n')}", f"n2 - {plan.beyond('n2')}"
+    room = f"g < g2 and least(lo, lo2) < greatest(hi, hi2) and {_sizes(plan)} and pos + {least} <= {p} and pos2 + {least} <= {p2} and not arrays_overlap(before, before2)"
+    pairs = staged(rows.join(other, F.expr(f"t = s and {room}")).select("g", "g2").distinct(), "group-pairs")
+    pairs = _sharing(pairs, lists, plan).select("g", "g2").union(spans.where("lo < hi").select("g", F.col("g").alias("g2")))
+    one, two = (node.select(F.col("g").alias(g), F.col("x").alias(x), F.col("k").alias(k)) for g, x, k in (("g", "x", "k"), ("g2", "y", "k2")))
+    return pairs.join(one, "g").join(two, "g2").where("k <> k2 and (g <> g2 or x < y)").select("x", "y").distinct()
 
 
 def _sizes(plan: Plan) -> str:
@@ -309,6 +265,6 @@ def _sizes(plan: Plan) -> str:
     return f"{plan.den} * n >= {plan.num} * n2 and {plan.den} * n2 >= {plan.num} * n"
 
 
-def _enough(plan: Plan, n: str, m: str):
+def _enough(plan: Plan, n: str, m: str) -> F.Column:
     """Whether c shared prefix shingles leave room for a link of sets of sizes n and m."""
     return F.expr(f"c + greatest({plan.beyond(n)}, {plan.beyond(m)}) >= {plan.overlap_at_least(n, m)}")

@@ -56,7 +56,7 @@ def plain_jaccard(rows):
     return Counter((d, len(s), comp.get(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("plan", [jaccard.Plan(), jaccard.Plan(sample=0, common=1), jaccard.Plan(rounds=0)])
+@pytest.mark.parametrize("plan", [jaccard.Plan(), jaccard.Plan(sample=0, common=1), jaccard.Plan(worth=0, before=1)])
 def test_jaccard(docs, empty, plan):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.text != "another text of id three"]
     df = docs.where("text is null or text <> 'another text of id three'")
@@ -82,7 +82,7 @@ def test_jaccard_of_many_near_copies(ready):
     assert got == plain_jaccard(rows)
 
 
-@pytest.mark.parametrize("plan", [jaccard.Plan(), jaccard.Plan(sample=0, common=1), jaccard.Plan(sample=0, common=1, rounds=0)])
+@pytest.mark.parametrize("plan", [jaccard.Plan(), jaccard.Plan(sample=0, common=1), jaccard.Plan(sample=0, common=1, worth=0)])
 def test_jaccard_of_short_chains_in_one_group(ready, plan):
     """A is linked with B and B with C, but not A with C; many of the chains have one prefix, and A is the least id."""
     rows = []

@@ -42,6 +42,21 @@ def test_words_and_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n: int = 1024) -> tuple[str, str]:
+    """Two words that every polynomial hash modulo 2**64 confuses."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_do_not_clash():
+    words = [w for n in (64, 1024, 2048, 4096) for w in thue_morse(n)] + ["a", "aa", "a\0", "a" * 8, "a" * 9, "a" * 16, "a" * 17]
+    _, _, buf, offs = next(blocks(pa.array([" ".join(words), *words])))
+    w = Words(buf, offs)
+    assert len(set(w.hash.tolist())) == len(words) and (w.hash[: len(words)] == w.hash[len(words) :]).all()
+
+
 # --- PII -------------------------------------------------------------------------------------------------------------
 
 
@@ -141,6 +156,7 @@ def test_substrings(docs, window):
 def test_substrings_of_random_texts(ready, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows += [(60 + i, "p q r s " + w + " t u v w") for i, w in enumerate((*thue_morse(), *thue_morse()))]
     got = by_row(substring.remove_repeats(ready.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 7, kept_text=True))
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == Counter(plain_dedup(rows, 7))
     assert substring.remove_repeats(empty, ["doc_id"]).count() == 0
@@ -291,7 +307,7 @@ def library():
     return t
 
 
-ODD = ["It's a.'s we'RE DON'T can't.'ve x.Y", "A<|ENDOFTEXT|>b<|endoftext|>c", "é.b É.x a1b2 3.4 … a…. b", "ΑΣ Σας İI ǅ", "é ́x ﬁ ½ ٣", "a b c", "\x00\x01 \x1cq", "🙂🙂 👩‍👩‍👧 'S 'll"]
+ODD = ["It's a.'s we'RE DON'T can't.'ve x.Y", "A<|ENDOFTEXT|>b<|endoftext|>c", "é.b É.x a1b2 3.4 … a…. b", "ΑΣ Σας İI ǅ", "é ́x ﬁ ½ ٣", "a b c", "\x00\x01 \x1cq", "🙂🙂 👩‍👩‍👧 'S 'll", *thue_morse()]
 
 
 def test_bpe_equals_the_library(ready, docs):
