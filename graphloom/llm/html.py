@@ -1,15 +1,21 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into trees. A page's content is its articles, else its main element, else its body, without what tags,
-roles and class names show to be menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments. Templates without such marks are found by recurrence: every element subtree is hashed (tag, class, id and
+Pages are parsed into trees. Templates are found by recurrence: every element subtree is hashed (tag, class, id and
 text), Spark counts per host on how many pages of different content each subtree occurs, and subtrees that recur on
 many of them are deleted. Pages of equal content count once, so copies of an article do not make it a template, and
-paragraphs inside an article or main element are never taken for one.
+paragraphs inside an article or main element are never taken for one. A template lies on at least a hundredth of its
+host's pages, so a host has at most a hundred times as many as a page has elements, however many pages it has.
+
+What does not recur is told by tags and roles (menus, headers, footers, sidebars, forms, scripts, styles), and class
+names and ids weigh (adverts, notices, reader comments): a name must be made of marks and words of layout alone
+("comment-list", not "post-comment-policy"), a paragraph, heading or list item inside an article or main element is
+never dropped for its name, and neither is a container that holds half of the content or more. A page's content is its
+articles in page order if they hold a quarter of its main element's text (of its body's, if it has none), else that.
 
 Defined cases. Null or blank html gives an empty text; a null or odd url has the host ''. Broken markup is read as
 browsers do in the common cases (unclosed paragraphs and list items, stray end tags, unquoted attributes, comments
-without end). Repeated rows and page ids are treated row by row.
+without end); elements nested deeper than 256 become siblings, none of their text is lost. Repeated rows and page ids
+are treated row by row, an empty table gives an empty result, and columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +46,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = re.compile(
     r"(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|widget\w*|related|share\w*|sharing|social\w*|comment\w*|disqus\w*|repl(?:y|ies)|footer\w*|popup|modal|newsletter|subscri\w*|login|signup|search\w*|masthead|topbar|toolbar)"
 )
+# Words of layout, which say nothing of what an element holds.
+LAYOUT = frozenset(
+    "area article bar block body bottom box btn button buttons cell center col column container content div foot group head header holder icons inner inline item items js layout left line links list main middle mobile nr outer page panel placeholder post posts primary reader readers right row secondary section site slot small sticky text thread title top unit user users view web wide wrap wrapper x".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -116,14 +126,34 @@ def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
             return
 
 
-def marked(node: Node, in_content: bool) -> bool:
-    """Whether tag, role or class name show that the element is no part of the article."""
+def told_by_name(marks: str) -> bool:
+    """Whether a class or id is made of marks, with words of layout and numbers beside them only."""
+    for name in marks.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if any(MARKS.fullmatch(w) for w in words) and all(MARKS.fullmatch(w) or w in LAYOUT or len(w) == 1 for w in words):
+            return True
+    return False
+
+
+def size_of(node: Node) -> int:
+    """Characters of text below an element, without scripts and styles."""
+    total, stack = 0, [node]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                total += len(k)
+            elif k.tag not in DROPPED:
+                stack.append(k)
+    return total
+
+
+def marked(node: Node, in_content: bool, half: int) -> bool:
+    """Whether tag, role or name show that the element is no part of the article. half: half the size of the content."""
     if node.tag in DROPPED or node.role in ROLES or (node.tag == "header" and not in_content):
         return True
-    if node.marks and node.tag not in ("body", "html", "#root", "main"):
-        words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", node.marks).lower())
-        return any(MARKS.fullmatch(w) for w in words if w)
-    return False
+    if not node.marks or node.tag in ("body", "html", "#root", "main", "article") or (in_content and node.tag in TEXT_BLOCKS):
+        return False
+    return told_by_name(node.marks) and size_of(node) < half
 
 
 def hash_subtrees(node: Node) -> str:
@@ -135,20 +165,26 @@ def hash_subtrees(node: Node) -> str:
 
 
 def contents(root: Node) -> list[Node]:
-    """The articles, else the main element, else the page; marked ones do not count."""
+    """The articles in page order, or the main element, or the page; what is marked does not count."""
     articles: list[Node] = []
     mains: list[Node] = []
-    queue = [(root, False)]
-    while queue:
-        node, inside = queue.pop()
-        for k in reversed(node.kids):
-            if isinstance(k, Node) and not (k.tag != "body" and marked(k, inside)):
-                if k.tag == "article" and not inside:
-                    articles.append(k)
-                elif k.tag == "main" or k.role == "main":
-                    mains.append(k)
-                queue.append((k, inside or k.tag == "article"))
-    return articles or mains[:1] or [root]
+    half = (size_of(root) + 1) // 2
+    stack = [(k, False) for k in reversed(root.kids) if isinstance(k, Node)]
+    while stack:
+        node, inside = stack.pop()
+        if node.tag != "body" and marked(node, inside, half):
+            continue
+        if node.tag == "article" and not inside:
+            articles.append(node)
+        elif node.tag == "main" or node.role == "main":
+            mains.append(node)
+        stack += [(k, inside or node.tag == "article") for k in reversed(node.kids) if isinstance(k, Node)]
+    whole = mains[:1] or [root]
+    if articles:
+        have, of = (sum(map(len, text_blocks(x, frozenset()))) for x in (articles, whole))
+        if 4 * have >= of:
+            return articles
+    return whole
 
 
 def text_blocks(nodes: list[Node], templates: frozenset[int] | set[int]) -> list[str]:
@@ -163,11 +199,13 @@ def text_blocks(nodes: list[Node], templates: frozenset[int] | set[int]) -> list
                 out.append(block)
             run.clear()
 
+    half = (sum(map(size_of, nodes)) + 1) // 2
+
     def walk(node: Node, in_content: bool) -> None:
         for k in node.kids:
             if isinstance(k, str):
                 run.append(k)
-            elif marked(k, in_content) or (k.hash in templates and not (in_content and k.tag in TEXT_BLOCKS)):
+            elif marked(k, in_content, half) or (k.hash in templates and not (in_content and k.tag in TEXT_BLOCKS)):
                 if k.tag not in INLINE:
                     flush()
             elif k.tag in INLINE:
@@ -176,7 +214,7 @@ def text_blocks(nodes: list[Node], templates: frozenset[int] | set[int]) -> list
                 walk(k, in_content)
             else:
                 flush()
-                walk(k, in_content)
+                walk(k, in_content or k.tag in ("article", "main"))
                 flush()
 
     for node in nodes:

@@ -144,6 +144,43 @@ def test_main_text():
     assert len(html.main_text("<p>" + "long " * 40_000)) == 40_000 * 5 - 1
 
 
+def test_articles_come_in_page_order_and_names_only_weigh():
+    assert html.main_text("<main><article><p>first</p></article><article><p>second</p></article></main>") == "first\nsecond"
+    page = '<article><h1>T</h1><p class="notice">one</p><p class="share-price">two</p><p>three</p><div class="related-work"><p>four</p></div><section id="post-comment-policy"><p>five</p></section>{}</article>'
+    assert html.main_text(page.format("")) == "T\none\ntwo\nthree\nfour\nfive"
+    assert html.main_text(page.format('<div class="comment-list"><p>Nice</p></div><div class="adBox">Buy</div>')) == "T\none\ntwo\nthree\nfour\nfive"
+    assert html.main_text('<body class="menu-left"><div class="ad">Buy</div><div class="content"><p>Long text of the page</p></div><div class="sidebar"><article><p>Card</p></article></div></body>') == "Long text of the page"
+    assert html.main_text("<div><p>" + "The page itself. " * 20 + "</p></div><div class=x><article><p>Teaser</p></article></div>").startswith("The page itself.")
+
+
+def plain_templates(rows, least, share, block_share):
+    """The rule, page by page: (host, element) pairs that are templates."""
+    pages, on = {}, {}
+    for host, page in rows:
+        pages.setdefault(host, set()).add(page)
+        root = html.parse(page)
+        html.hash_subtrees(root)
+        own = html.contents(root)
+        content = "\n".join(html.text_blocks(own, frozenset()))
+        for inside, nodes in ((True, own), (False, [root])):
+            for node, block in html._elements(nodes, inside) if not inside or own[0].tag in ("article", "main") else ():
+                on.setdefault((host, node, block), set()).add(content)
+    return {(h, n) for (h, n, block), c in on.items() if len(c) >= least and len(c) >= (block_share if block else share) * len(pages[h])}
+
+
+def test_templates_equal_the_rule(ready):
+    rng = random.Random(9)
+    parts = ["<div class=a1>Top</div>", "<ul><li>x<li>y</ul>", "<section><p>Read more</p></section>", "<p>Same</p>"]
+    rows = []
+    for i in range(120):
+        host = "h.example" if i % 3 else f"g{i % 4}.example"
+        body = "".join(p for p in parts if rng.random() < 0.4)
+        rows.append((host, f"<body>{body}<article><p>Text {rng.randint(0, 70)}</p>{body}</article></body>"))
+    df = ready.createDataFrame([(f"http://{h}/p", p) for h, p in rows], "url string, html string")
+    got = {(r.host, n) for r in html.templates(df).collect() for n in r.nodes}
+    assert got == plain_templates(rows, 5, 0.01, 0.3) and got
+
+
 def test_templates_go_and_articles_stay(ready):
     def page(i):
         body = f"<p>Story {i} text</p><p>Same line in all</p>"
