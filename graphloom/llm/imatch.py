@@ -2,14 +2,19 @@
 
 The lexicon holds the terms whose document frequency lies between two shares of all documents (an inverse-document-
 frequency band), counted over the whole corpus. Its size is bounded: a share d leaves at most (mean distinct terms of a
-document) / d terms. A document's fingerprint has one slot for each of SLOTS randomised families of lexicon subsets;
-subset s of a family holds the terms whose random value is below 2**s, and a slot hashes the document's distinct, sorted
-terms that lie in the smallest subset of its family that holds any. So a slot depends on one or two terms, and a small
-edit changes few slots. The likeness of two fingerprints is the share of equal slots.
+document) / d terms. SLOTS random subsets of it are fixed, each term being in a subset of rate q with chance q; the
+rates halve from 1/4 to 1/2048. A slot is the hash of all of the document's distinct terms that lie in its subset, in
+sorted order, as I-Match has it; a fingerprint is the number of the document's lexicon terms and its slots.
+
+Likeness. Two documents whose terms differ in x places have equal slots at rate q with chance (1 - q) ** x. The x that
+makes the slots seen most likely gives the likeness (a + b - x) / (a + b + x) of documents with a and b terms: an
+estimate of the Jaccard similarity of their terms. Equal fingerprints have likeness 1.
 
 Defined cases. Null text is empty. A text without lexicon terms uses all its terms, one without terms has an empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another 0. Documents follow each other by id, null
-ids first, rows of one id by text; after the last comes the first. A single document follows itself.
+ids first, rows of one id by text; after the last comes the first. A single document follows itself. An empty table
+gives an empty result. Very long texts are read in whole, one at a time. Ids are numbers; only the id and the text are
+read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import Words, as_long, blocks, mix, per_batch
 
-SLOTS = 32
+SLOTS, RATES = 60, 10
 _SEEDS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_HALVINGS = np.arange(SLOTS) % RATES + 2
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -74,18 +80,17 @@ def fingerprints(texts: pa.Array, lex: np.ndarray) -> list[str]:
         doc, h = doc[use], h[use]
         full, first = np.unique(doc, return_index=True)
         size = np.diff(np.append(first, len(doc)))
-        slots = np.zeros((hi - lo, SLOTS), np.uint16)
-        if len(full):
-            base = mix(h)
-            for k in range(SLOTS):
-                v = base * _SEEDS[k]
-                v ^= v >> np.uint64(29)
-                least = np.minimum.reduceat(v, first)
-                bits = np.frexp(least.astype(np.float64))[1]
-                below = np.where(bits >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
-                inside = v <= np.repeat(below, size)
-                total = np.add.reduceat(np.where(inside, base, np.uint64(0)), first)
-                slots[full, k] = (mix(total + _SEEDS[k]) >> np.uint64(48)).astype(np.uint16)
+        slots = np.zeros((hi - lo, SLOTS + 1), np.uint16)
+        slots[full, 0] = np.minimum(size, 65535)
+        base = mix(h)
+        for k in range(SLOTS):
+            v = base * _SEEDS[k]
+            at = np.flatnonzero((v ^ v >> np.uint64(29)) >> np.uint64(64 - _HALVINGS[k]) == 0)
+            if len(at):
+                own, begin = np.unique(doc[at], return_index=True)
+                place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+                total = np.add.reduceat(mix(h[at] + (place.astype(np.uint64) + np.uint64(1)) * _SEEDS[0]), begin)
+                slots[own, k + 1] = (mix(total) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
         digits = _HEX[(slots[:, :, None] >> np.array([12, 8, 4, 0], np.uint16)) & 15].reshape(hi - lo, -1)
         has = np.bincount(full, minlength=hi - lo) > 0
         out += [digits[d].tobytes().decode() if has[d] else "" for d in range(hi - lo)]
@@ -93,11 +98,23 @@ def fingerprints(texts: pa.Array, lex: np.ndarray) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
+    """How alike the documents of two fingerprints are, from 0 to 1."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 4 * SLOTS, 4)) / SLOTS
+    m, n = int(a[:4], 16), int(b[:4], 16)
+    equal = np.zeros(RATES)
+    for k in range(SLOTS):
+        equal[_HALVINGS[k] - 2] += a[4 * k + 4 : 4 * k + 8] == b[4 * k + 4 : 4 * k + 8]
+    x = _GRID[_GRID <= m + n]
+    best = (_SAME[: len(x)] @ equal + _OTHER[: len(x)] @ (SLOTS // RATES - equal)).argmax()
+    return float((m + n - x[best]) / (m + n + x[best]))
+
+
+_GRID = np.unique(np.geomspace(1, 131072, 400).astype(np.int64)).astype(np.float64)
+_SAME = _GRID[:, None] * np.log1p(-(0.5 ** np.arange(2, RATES + 2)))[None]
+_OTHER = np.log(-np.expm1(_SAME))
 
 
 def ring(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -108,14 +125,16 @@ def ring(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     cuts = sorted(set(cuts))
     part = F.when(F.col("id").isNull(), 0).otherwise(_below(cuts, F.col("id"))) if cuts else F.lit(0)
     rows = rows.withColumn("p", part)
-    # the first document of every part, in the order of the rows
-    heads = rows.groupBy("p").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", F.coalesce("text", F.lit("")).alias("text"))).alias("h")).orderBy("p").collect()
-    if not heads:
+    # the first document of every part, in the order of the rows, goes behind the part before it; only the numbers of the
+    # parts that have rows come to the driver
+    heads = rows.groupBy("p").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", F.coalesce("text", F.lit("")).alias("text"))).alias("h"))
+    used = sorted(r["p"] for r in rows.select("p").distinct().collect())
+    if not used:
         return rows.withColumn("extra", F.lit(0))
-    spark = docs.sparkSession
-    extra = [(heads[(i + 1) % len(heads)]["h"]["id"], heads[(i + 1) % len(heads)]["h"]["text"], h["p"], 1) for i, h in enumerate(heads)]
-    after = spark.createDataFrame(extra, T.StructType([*rows.schema.fields[:2], T.StructField("p", T.IntegerType()), T.StructField("extra", T.IntegerType())]))
-    return rows.withColumn("extra", F.lit(0)).union(after)
+    before = dict(zip(used, [used[-1], *used[:-1]], strict=True))
+    to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    after = heads.select("h.id", "h.text", to[F.col("p")].alias("p"), F.lit(1).alias("extra"))
+    return rows.withColumn("extra", F.lit(0)).unionByName(after)
 
 
 def _below(cuts: list, value: F.Column) -> F.Column:

@@ -181,6 +181,46 @@ def test_imatch(docs):
     assert imatch.fingerprint(docs.limit(0)).count() == 0
 
 
+def plain_print(terms, lexicon):
+    """The fingerprint of a set of term hashes by the definition."""
+    own = sorted(terms & lexicon or terms)
+    if not own:
+        return ""
+    wide = lambda v: np.array([v & (2**64 - 1)], np.uint64)
+    slots = [min(len(own), 65535)]
+    for k in range(imatch.SLOTS):
+        seed, inside = int(imatch._SEEDS[k]), []
+        for h in own:
+            v = int(imatch.mix(wide(h))[0]) * seed & (2**64 - 1)
+            if (v ^ v >> 29) < 2 ** (64 - int(imatch._HALVINGS[k])):
+                inside.append(h)
+        total = sum(int(imatch.mix(wide(h + (i + 1) * int(imatch._SEEDS[0])))[0]) for i, h in enumerate(inside))
+        slots.append(int(imatch.mix(wide(total))[0]) >> 48 | 1 if inside else 0)
+    return "".join(f"{s:04x}" for s in slots)
+
+
+def test_fingerprints_equal_the_definition(docs):
+    texts = [r.text for r in docs.collect()][:14]
+    _, _, buf, offs = next(blocks(pa.array(texts)))
+    w = Words(buf, offs, lower=True)
+    sets = [set(w.hash[a:b].tolist()) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    lexicon = {h for h in set().union(*sets) if h % 3}
+    got = imatch.fingerprints(pa.array(texts), np.sort(np.array(list(lexicon), np.uint64)))
+    assert got == [plain_print(s, lexicon) for s in sets]
+
+
+def test_likeness_estimates_the_similarity_of_terms():
+    rng = random.Random(12)
+    for n, changed in ((200, 0), (200, 20), (200, 50), (1000, 250), (60, 60), (400, 400)):
+        found = []
+        for t in range(12):
+            own = [f"w{t}x{i}" for i in range(n)]
+            other = [*own[: n - changed], *(f"v{t}x{i}" for i in range(changed))]
+            rng.shuffle(other)
+            found.append(imatch.likeness(*imatch.fingerprints(pa.array([" ".join(own), " ".join(other)]), np.zeros(0, np.uint64))))
+        assert abs(np.mean(found) - (n - changed) / (n + changed)) < 0.15, (n, changed, found)
+
+
 def test_imatch_single_document_follows_itself(ready):
     r = imatch.fingerprint(ready.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1
