@@ -11,7 +11,8 @@ cosines are taken in double precision. Units return a count and one link per vec
 Equal vectors of a label are one weighted vector. Vectors of different labels or lengths are never compared.
 
 Defined cases. A vector that is null, empty, zero, or holds null or non-finite components, and one with a null label or
-id, links with nothing. Repeated rows of a vector are one vector; the result has a row for each.
+id, links with nothing. Repeated rows of a vector are one vector; the result has a row for each. An empty table gives an
+empty result. Only the id, the vector and the label are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -29,38 +30,50 @@ SLACK = 1e-9
 
 
 class Tree:
-    """Levels of nodes. centre, radius and parent by level; leaf[i] is the last-level node of point i."""
+    """Levels of nodes. centre, radius and parent by level; leaf[i] is the last-level node of point i.
+
+    Every level is a net of its scale within the nodes above: a node's first point is its centre and takes what lies
+    within the scale. The distances of the part's points are taken by one product, so a centre costs one look at a row.
+    """
 
     def __init__(self, x: np.ndarray, least: float) -> None:
         self.x = x
+        far = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
         self.centre, self.radius, self.parent = [], [], []
         node = np.zeros(len(x), np.int64)
         scale = 2.0
-        self._level(node, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        self._level(node, np.zeros(1, np.int64), np.zeros(1, np.int64), far)
         while scale > least and len(self.centre[-1]) < len(x):
             scale /= 2
-            new, centres, parents = np.empty(len(x), np.int64), [], []
+            near = far <= scale
+            new, centres, parents = np.full(len(x), -1, np.int64), [], []
+            alone = near.sum(1) == 1  # they are nodes of their own, whatever the order
             order = np.argsort(node, kind="stable")
             for p, own in enumerate(np.split(order, np.searchsorted(node[order], np.arange(1, len(self.centre[-1]))))):
+                single = own[alone[own]]
+                new[single] = len(centres) + np.arange(len(single))
+                centres += single.tolist()
+                parents += [p] * len(single)
+                own = own[~alone[own]]
                 while len(own):
                     c = own[0]
-                    near = ((x[own] - x[c]) ** 2).sum(1) <= scale * scale
-                    near[0] = True
-                    new[own[near]] = len(centres)
+                    taken = near[c, own]
+                    taken[0] = True
+                    new[own[taken]] = len(centres)
                     centres.append(c)
                     parents.append(p)
-                    own = own[~near]
+                    own = own[~taken]
             node = new
-            self._level(node, np.array(centres), np.array(parents))
+            self._level(node, np.array(centres), np.array(parents), far)
         self.leaf = node
         order = np.argsort(node, kind="stable")
         self.members = np.split(order, np.searchsorted(node[order], np.arange(1, len(self.centre[-1]))))
 
-    def _level(self, node: np.ndarray, centre: np.ndarray, parent: np.ndarray) -> None:
-        far = np.zeros(len(centre))
-        np.maximum.at(far, node, np.sqrt(((self.x - self.x[centre[node]]) ** 2).sum(1)))
+    def _level(self, node: np.ndarray, centre: np.ndarray, parent: np.ndarray, far: np.ndarray) -> None:
+        radius = np.zeros(len(centre))
+        np.maximum.at(radius, node, far[np.arange(len(node)), centre[node]])
         self.centre.append(centre)
-        self.radius.append(far)
+        self.radius.append(radius)
         self.parent.append(parent)
 
     def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,42 +90,63 @@ def dual(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, w_a: np.ndarray
     count_a, count_b = np.zeros(len(w_a), np.int64), np.zeros(len(w_b), np.int64)
     norm_a, norm_b = (np.sqrt((v * v).sum(1)) for v in (raw_a, raw_b))
     left, right = [], []
-    open_pairs = np.ones((1, 1), bool)
-    depth = max(len(a.centre), len(b.centre))
-    for k in range(depth):
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)  # the node pairs that are still open
+    for k in range(max(len(a.centre), len(b.centre))):
         (ca, ra, pa_), (cb, rb, pb) = a.level(k), b.level(k)
-        pairs = open_pairs[np.ix_(pa_, pb)]
-        d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ca] @ b.x[cb].T)))
-        reach = ra[:, None] + rb[None, :]
-        open_pairs = pairs & (d - reach <= r + 1e-6)
-    whole = open_pairs & (d + reach <= r - 1e-6)
-    for i, j in zip(*np.nonzero(open_pairs), strict=True):
-        if same and j < i:
-            continue
-        m, n = a.members[i], b.members[j]
-        if whole[i, j]:
-            own = same and i == j
+        if k:
+            i, j = _opened(i, j, pa_, pb)
+        d = _distances(a.x[ca], b.x[cb], i, j)
+        reach = ra[i] + rb[j]
+        near = d - reach <= r + 1e-6
+        if same:
+            near &= i <= j
+        i, j, whole = i[near], j[near], (d + reach <= r - 1e-6)[near]
+    for p, q, every in zip(i.tolist(), j.tolist(), whole.tolist(), strict=True):
+        m, n = a.members[p], b.members[q]
+        own = same and p == q
+        if every:
             count_a[m] += w_b[n].sum() - (w_a[m] if own else 0)
             if not own:
                 count_b[n] += w_a[m].sum()
             left += [m, np.full(len(n), m[0])]
             right += [np.full(len(m), n[0]), n]
             continue
-        near = (raw_a[m] @ raw_b[n].T) / (norm_a[m][:, None] * norm_b[n][None, :]) >= cosine
-        if same and i == j:
-            near = np.triu(near, 1)
-        p, q = np.nonzero(near)
-        np.add.at(count_a, m[p], w_b[n[q]])
-        np.add.at(count_b, n[q], w_a[m[p]])
-        left.append(m[p])
-        right.append(n[q])
+        if own and len(m) == 1:
+            continue
+        linked = (raw_a[m] @ raw_b[n].T) / (norm_a[m][:, None] * norm_b[n][None, :]) >= cosine
+        if own:
+            linked = np.triu(linked, 1)
+        x, y = np.nonzero(linked)
+        np.add.at(count_a, m[x], w_b[n[y]])
+        np.add.at(count_b, n[y], w_a[m[x]])
+        left.append(m[x])
+        right.append(n[y])
     none = np.zeros(0, np.int64)
     return count_a, count_b, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _opened(i: np.ndarray, j: np.ndarray, parent_a: np.ndarray, parent_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children of the open node pairs. Children of a node are adjacent."""
+    (start_a, size_a), (start_b, size_b) = ((np.searchsorted(p, x), np.searchsorted(p, x, "right") - np.searchsorted(p, x)) for p, x in ((parent_a, i), (parent_b, j)))
+    n = size_a * size_b
+    pair = np.repeat(np.arange(len(i)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    return start_a[pair] + at // size_b[pair], start_b[pair] + at % size_b[pair]
+
+
+def _distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (i, j) of unit vectors: one product where most pairs are open, else pair by pair."""
+    if 16 * len(i) > len(x) * len(y):
+        dot = (x @ y.T)[i, j]
+    else:
+        dot = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
+    return np.sqrt(np.maximum(0, 2 - 2 * dot))
+
+
 def _unit(table: pa.Table, cosine: float) -> pa.Table:
     ids, w, side = (table[c].to_numpy() for c in ("rep", "w", "side"))
     raw = np.array(table["v"].combine_chunks().values.to_numpy(), np.float64).reshape(len(ids), -1)
+    raw /= np.abs(raw).max(1, keepdims=True)  # so that squares of large and small components stay finite
     x = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
     parts = [np.flatnonzero(side == s) for s in (0, 1)]
     same = table["a"][0].as_py() == table["b"][0].as_py()
@@ -144,12 +178,17 @@ def _unit(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"rep": pa.array(ids[hit]), "links": pa.array(count[hit]), "root": pa.array(ids[lab[hit]])})
 
 
+def _unit_vector(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max()
+    return v / np.sqrt((v * v).sum())
+
+
 def _net(sample: list, most: int) -> dict:
     """Per (label, length): pivots, farthest first, as unit vectors."""
     rows: dict = {}
     for r in sample:
         v = np.array(r["v"], np.float64)
-        rows.setdefault((r["label"], len(v)), []).append(v / np.sqrt((v * v).sum()))
+        rows.setdefault((r["label"], len(v)), []).append(_unit_vector(v))
     nets = {}
     for key, vectors in rows.items():
         x = np.array(vectors)
@@ -180,7 +219,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
             x = np.array(v[row].values.to_numpy(zero_copy_only=False), np.float64)
             net = nets.value.get((label, len(x)))
             if net is not None:
-                d = np.sqrt(((net - x / np.sqrt((x * x).sum())) ** 2).sum(1))
+                d = np.sqrt(((net - _unit_vector(x)) ** 2).sum(1))
                 cell[row], far[row] = d.argmin(), d.min()
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["label", "v", "rep", "w", "cell", "far"])
 

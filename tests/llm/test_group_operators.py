@@ -109,8 +109,9 @@ def test_vectors(ready):
                 rows.append((i, [float(np.float32(x)) for x in c + 0.08 * rng.standard_normal(8)], label))
                 i += 1
     rows += [(i, rows[0][1], 0), (i + 1, rows[0][1], 0), (i + 2, [0.0] * 8, 0), (i + 3, None, 0), (i + 4, [float("nan")] + [1.0] * 7, 0), (i + 5, [], 0), (i + 6, [None] + [1.0] * 7, 1), (i + 7, [1.0, 2.0], 0), (None, rows[0][1], 0)]
-    df = ready.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash"))
-    good = [(k, np.array(v, float), lab) for k, v, lab in rows if k is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    rows += [(i + 8, [1e300] * 3, 0), (i + 9, [1e-300] * 3, 0), (i + 10, [1e300, 2e300, 0.0], 0)]
+    df = ready.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit("clash"))
+    good = [(k, np.array(v, float) / max(map(abs, v)), lab) for k, v, lab in rows if k is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     edges = [(a, b) for a, x, p in good for b, y, q in good if a < b and p == q and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98]
     n, comp = Counter(x for e in edges for x in e), united({r[0] for r in rows if r[0] is not None}, edges)
     want = Counter((k, n[k] if k is not None else 0, comp.get(k), k is not None and comp[k] == k) for k, _, _ in rows)
