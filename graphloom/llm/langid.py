@@ -5,6 +5,11 @@ probability in a context with T visits and q distinct successors is c/(T+q) if s
 times its probability one order lower; order -1 is uniform. Since the counts are frozen the trees are compiled into
 one table of code lengths, addressed by the longest context kept, and a text's exact code length under each language
 is a sum over its bytes. The shortest code wins; ties go to the first language in alphabetical order.
+
+Defined cases. Null and empty texts and texts without a letter are `und` with score 0; repeated rows are scored row by
+row; an empty table gives an empty result, and training on none a model that knows no language. Very long texts are
+read in whole. Columns in keep with the name of a result are replaced by it. The table has one row for each context
+kept, of 158 code lengths a language: some tens of MB for a few languages, and its size follows the sample alone.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import blocks, per_batch
 
@@ -142,15 +148,14 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, lang_pred and score (the winner's posterior under equal priors; 0 for `und`).
+    """The columns in keep, lang_pred, score (the winner's posterior under equal priors; 0 for `und`) and bits_per_byte (its code).
 
     Null texts, texts without a letter, and all texts under a model without languages are `und`.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
     kept = [docs.schema[c] for c in keep]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -165,6 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             else:
                 score, pred = np.zeros(hi - lo), ["und"] * (hi - lo)
             columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], [*keep, "lang_pred", "score"])
+            rate = (bits.min(1) if m.langs else np.zeros(hi - lo)) / np.maximum(np.diff(offs), 1)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(rate)], [*keep, "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(per_batch(run), schema)

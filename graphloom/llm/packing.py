@@ -4,13 +4,16 @@ The plan needs only how many pieces have each length: at most `capacity` numbers
 length left, the undominated fillings of the rest of its sequence are enumerated (one, two or three further pieces that
 leave no gap, larger ones first, then the best fit), the first is used as often as the counts allow, and the others
 remain as branches. A branch is cut when the gaps so far exceed what a better plan than the incumbent may waste; the
-first incumbent is the best-fit-decreasing plan. The search ends at the lower bound (all tokens over the capacity) or
-when its node budget is used up.
+first incumbent is the best-fit-decreasing plan. The search ends when the incumbent meets the lower bound (all tokens
+over the capacity), or after a number of nodes that grows with the number of distinct lengths; what then remains open is
+told: every row has the sequences used and the lower bound.
 
 Pieces then find their places without meeting in one task: pieces of a length are numbered by partition and by order
 within it, and the numbers select a run of the plan (pattern, slot), of which there are few.
 
-Null text is one end token. Texts longer than the capacity are cut; rows and ids may repeat.
+Defined cases. Null text is one end token. Texts longer than the capacity are cut, however long; rows and ids may
+repeat, each row is packed. An empty table gives an empty result. Only the id and the text are read, so other columns can
+have any name.
 """
 
 from __future__ import annotations
@@ -97,16 +100,24 @@ def best_fit_plan(hist: np.ndarray, capacity: int) -> list[Pattern]:
     return plan
 
 
-def plan_bins(hist: np.ndarray, capacity: int, nodes: int = 8_000) -> list[Pattern]:
-    """Patterns (lengths in a sequence) and how often each is used. hist[n]: how many pieces have length n."""
+def plan_bins(hist: np.ndarray, capacity: int, nodes_per_length: int = 20) -> list[Pattern]:
+    """Patterns (lengths in a sequence) and how often each is used. hist[n]: how many pieces have length n.
+
+    The search visits at most nodes_per_length nodes for each distinct length, and as many again for each of the
+    first hundred lengths: enough to try every filling of each length, and whole searches of small cases."""
     total = int((hist * np.arange(capacity + 1)).sum())
     best = best_fit_plan(hist, capacity)
     size = sum(m for _, m in best)
-    bound = -(-total // capacity)
-    stack: list[tuple[np.ndarray, int, tuple | None]] = [(hist.copy(), 0, None)]
+    bound = least_sequences(hist, capacity)
+    distinct = int(np.count_nonzero(hist))
+    nodes = nodes_per_length * (distinct + 10 * min(distinct, 100)) + 1000
+    # a node: the counts before its filling, which its siblings share, the filling, the waste, and the fillings before
+    stack: list[tuple[np.ndarray, tuple[int, ...], int, int, tuple | None]] = [(hist, (), 0, 0, None)]
     while stack and size > bound and nodes:
-        counts, waste, done = stack.pop()
+        before, items, m, waste, done = stack.pop()
         nodes -= 1
+        counts = before.copy()
+        np.subtract.at(counts, list(items), m)
         left = np.flatnonzero(counts)
         if not len(left):
             plan = []
@@ -120,12 +131,16 @@ def plan_bins(hist: np.ndarray, capacity: int, nodes: int = 8_000) -> list[Patte
             m = _times(counts, items)
             more = waste + m * (capacity - sum(items))
             if m and more <= (size - 1) * capacity - total or len(left) == 1:
-                after = counts.copy()
-                np.subtract.at(after, list(items), m)
-                stack.append((after, more, ((items, m), done)))
+                stack.append((counts, items, m, more, ((items, m), done)))
     return best
 
 
+def least_sequences(hist: np.ndarray, capacity: int) -> int:
+    """A lower bound: all tokens over the capacity, or the pieces longer than half of it."""
+    total = int((hist * np.arange(len(hist))).sum())
+    return max(-(-total // capacity), int(hist[capacity // 2 + 1 :].sum()))
+
+
 def runs_of(plan: list[Pattern], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (length << 40 | first number), with the first sequence and the offset of each run of pieces."""
     start = np.zeros(capacity + 1, np.int64)
@@ -182,7 +197,8 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end: int = 1) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id and offset."""
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences (used in all) and
+    least_sequences (a lower bound of that)."""
     pieces = staged(cut_pieces(docs, path, id_col, text_col, capacity, end), "pieces")  # also fixes the numbering
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -190,7 +206,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     hist = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         hist[r["length"]] = r["n"]
-    runs = docs.sparkSession.sparkContext.broadcast(runs_of(plan_bins(hist, capacity), capacity))
+    plan = plan_bins(hist, capacity)
+    used, least = sum(m for _, m in plan), least_sequences(hist, capacity)
+    runs = docs.sparkSession.sparkContext.broadcast(runs_of(plan, capacity))
+    release()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base, at = runs.value
@@ -202,4 +221,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     numbered = pieces.join(counts.select("part", "length", "before"), ["part", "length"])
     numbered = numbered.select("id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("nth"))
     schema = T.StructType([*numbered.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInArrow(place, schema)
+    return numbered.mapInArrow(place, schema).withColumns({"n_sequences": F.lit(used).cast("long"), "least_sequences": F.lit(least).cast("long")})
