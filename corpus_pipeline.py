@@ -12,12 +12,20 @@ from graphloom.llm import jaccard, langid, packing, pii, substring
 from graphloom.llm.common import prepare, remainder, staged
 
 
+#: Bits a byte of text under the best language; random letters take more, prose about three.
+MOST_BITS = 6.0
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no recognisable language: null text or no letter at all."""
+    """Drop documents of no recognisable language, and give the others the language predicted for them as lang.
+
+    Rejected are null texts, texts without a letter, and texts whose code under the best language is no shorter than
+    MOST_BITS a byte, which is near that of random characters. Rows of one id are treated one by one."""
     prepare(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"), remainder("doc_id", 3) != 1)
     own = _shielded(docs)
-    return _restored(langid.predict(own, model, own.columns).where("lang_pred <> 'und'"), docs)
+    told = langid.predict(own, model, own.columns).where(f"lang_pred <> 'und' and bits_per_byte < {MOST_BITS}")
+    return _restored(told, docs, {"lang": F.col("lang_pred")})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +39,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that an earlier document holds; texts that lose nothing stay as they are, others are joined by
-    single spaces."""
+    single spaces. Null texts stay null, rows without doc_id lose nothing, and a text may end up empty."""
     prepare(spark)
     own = _shielded(docs)
     done = substring.remove_repeats(own, own.columns, kept_text=True)
-    return _restored(done, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return _restored(done, docs, _new_text(docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets."""
+    """Replace personal data by its kind in brackets. Null texts stay null; every row stays."""
     prepare(spark)
     own = _shielded(docs)
-    return _restored(pii.detect(own, pii.train(own), own.columns, redact=True), docs, F.col("redacted"))
+    return _restored(pii.detect(own, pii.train(own), own.columns, redact=True), docs, _new_text(docs, F.col("redacted")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the numbers of sequences. Null text is one end token."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -56,15 +64,19 @@ def _shielded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)])
 
 
-def _restored(df: DataFrame, docs: DataFrame, text: F.Column | None = None) -> DataFrame:
-    """The columns of docs again, with the new text and, where it has changed, its length."""
-    new = {}
-    if text is not None:
-        new["text"] = text
-        if "n_chars" in docs.columns:
-            old = F.col(f"own_{docs.columns.index('n_chars')}")
-            new["n_chars"] = F.when(text.eqNullSafe(F.col("text")), old).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return df.select(*[new.get(c, F.col(f"own_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+def _restored(df: DataFrame, docs: DataFrame, new: dict[str, F.Column] | None = None) -> DataFrame:
+    """The columns of docs again, with what is new in them."""
+    new = new or {}
+    return df.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _new_text(docs: DataFrame, text: F.Column) -> dict[str, F.Column]:
+    """The new text and, where it has changed, its length."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        old = F.col(f"own_{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(text.eqNullSafe(F.col("text")), old).otherwise(F.char_length(text))
+    return new
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
