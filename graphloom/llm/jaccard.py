@@ -7,8 +7,8 @@ least s share a shingle in their prefixes of n - ceil(s n) + 1 shingles. The ste
 1. Documents with identical prefixes and size form a group, with identical sets a class within it. All later work is
    on groups and classes, so copies cost one row each.
 2. Prefix shingles of one group only are dropped after a pre-aggregated count. The others form one list a group.
-3. Rounds. Every shingle names one of its groups, another in each round, and each group is compared with the few named
-   groups of other components with which it shares most shingles: a number of pairs in proportion to the input. Pairs
+3. Rounds. Every shingle names one of its groups, in turn the likeliest centre of near copies and any one, and each group
+   is compared with the few named groups of other components with which it shares most shingles: a number of pairs in proportion to the input. Pairs
    that share enough prefix shingles for a link are verified on whole texts, and components grow. In the first round
    the classes of a group are also compared with its first class. Rounds end when one finds few links for its pairs.
 4. Completeness. Groups that hold several components between them and share a prefix shingle are paired. Each pair is
@@ -224,9 +224,10 @@ def _named(lists: DataFrame, label: DataFrame | None, turn: int, plan: Plan) ->
         led = lists.withColumn("k", F.col("y"))
     else:
         led = lists.join(label, F.col("y") == F.col("node"), "left").withColumn("k", F.coalesce("component", "y"))
-    rows = led.select("g", "n", "k", F.explode("ts").alias("t"))
-    order = F.xxhash64("g", F.lit(turn))
-    name = rows.groupBy("t").agg(F.min_by(F.struct("g", "n", "k"), order).alias("h"))
+    # in every other round the group with the largest share of shingles that others have too, a likely centre of its copies
+    central = F.size("ts") / F.expr(f"n - {plan.beyond('n')}") if turn % 2 == 0 else F.lit(0.0)
+    rows = led.select("g", "n", "k", F.struct(central.alias("a"), F.xxhash64("g", F.lit(turn)).alias("b")).alias("order"), F.explode("ts").alias("t"))
+    name = rows.groupBy("t").agg(F.max_by(F.struct("g", "n", "k"), "order").alias("h"))
     name = name.select(F.col("t").bitwiseXOR(F.lit(1)).alias("u"), F.col("h.g").alias("g2"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"))
     met = rows.join(name, F.col("t").bitwiseXOR(F.lit(1)) == F.col("u")).where(f"k <> k2 and {_sizes(plan)}")
     best = met.groupBy("g", "g2").agg(F.count("*").alias("c"))
