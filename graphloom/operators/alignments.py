@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import hashed_uniform, without_last, without_pair_suffix
 
-CLASSES = ("NHUP", "NHMP", "NLUP", "NLMP", "NMXP", "NHUS", "NHMS", "NLUS", "NLMS", "NINV")
+# Names of the read classes (first that holds), of the further counts, and of the truth classes by flag.
+CLASSES = (
+    ("NHUP", "hi_paired = 1"), ("NHMP", "hi_paired > 1"), ("NLUP", "paired = 1"), ("NLMP", "paired > 1"), ("NHUS", "hi_single = 1"),
+    ("NHDS", "hi_single = 2"), ("NHMS", "hi_single > 2"), ("NLUS", "single = 1"), ("NLDS", "single = 2"), ("NLMS", "single > 2"),
+)
+FURTHER = (("NRAL", "paired > 0 or single > 0"), ("NMUL", "paired + single > 1"), ("NWIN", "invalid > 0"))
+TRUTH = {"NFFM": (0b1111,), "NPPM": (0b1010,), "NFPM": (0b1110, 0b1011), "NFNM": (0b1100, 0b0011), "NPNM": (0b1000, 0b0010), "NNNM": (0,)}
 
 
 def is_valid(block: Column) -> Column:
@@ -45,68 +51,100 @@ def consecutive_pairs(records: DataFrame, block: str | None = None) -> DataFrame
     return pairs.select(F.struct(*records.columns).alias("one"), F.col("__mate").alias("two"))
 
 
-def ground_truth(records: DataFrame, truth: DataFrame) -> DataFrame:
-    """q_name, flag: for each read, the bits of the ends whose first oriented node and offset equal the truth's.
-
-    truth: q_name, mate (0 or 1), forward, node_id, offset. Bits: 1 and 2: a record of mate 0 or 1 exists; 4 and 8: one
-    of them is right.
-    """
+def truth_loci(truth: DataFrame, trim: bool = False) -> DataFrame:
+    """q_name, loci: the first oriented node and the offset of every valid truth record of a read, in file order. Reads with
+    invalid records only have none. trim: names lose their last two characters."""
     first = F.get(oriented_path(F.col("path")), F.lit(0))
-    r = records.withColumn("mate", F.when(F.col("q_name").rlike("[_/]2$"), 1).otherwise(0)).withColumn("first", first)
-    r = r.withColumn("name", without_pair_suffix("q_name"))
-    t = truth.select(F.col("q_name").alias("name"), "mate", F.col("forward").alias("t_forward"), F.col("node_id").alias("t_node"), F.col("offset").alias("t_offset"))
-    j = r.join(t, ["name", "mate"], "left")
-    right = (F.col("first.node_id") == F.col("t_node")) & (F.col("first.forward") == F.col("t_forward")) & (F.col("p_start") == F.col("t_offset"))
-    bit = F.when(F.col("mate") == 0, 1).otherwise(2) + F.when(F.coalesce(right, F.lit(False)), F.when(F.col("mate") == 0, 4).otherwise(8)).otherwise(0)
-    return j.groupBy(F.col("name").alias("q_name")).agg(F.bit_or(bit).alias("flag"))
+    locus = F.when(is_valid(F.col("block")), F.struct("line", first["forward"].alias("forward"), first["node_id"].alias("node_id"), F.col("p_start").alias("offset")))
+    name = without_last("q_name", 2) if trim else F.col("q_name")
+    got = truth.select(name.alias("q_name"), locus.alias("l")).groupBy("q_name").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    return got.select("q_name", F.transform("l", lambda x: F.struct(x["forward"].alias("forward"), x["node_id"].alias("node_id"), x["offset"].alias("offset"))).alias("loci"))
 
 
-def fragments(records: DataFrame) -> DataFrame:
-    """n_records (3: three or more), n_reads: how many reads have so many records."""
-    per = records.groupBy(without_pair_suffix("q_name").alias("name")).agg(F.count("*").alias("n"))
-    return per.groupBy(F.least("n", F.lit(3)).alias("n_records")).agg(F.count("*").alias("n_reads"))
+def fragments(loci: DataFrame) -> DataFrame:
+    """n_fragments (3: three or more), n_reads of truth_loci rows."""
+    return loci.groupBy(F.least(F.size("loci"), F.lit(3)).alias("n_fragments")).agg(F.count("*").alias("n_reads"))
 
 
-def per_read_counts(records: DataFrame, min_identity: float = 0.9) -> DataFrame:
-    """name, paired, single, invalid, hi_paired, hi_single: a record is paired by its tag proper_pair, and high by its
-    identity (rounded to six digits, since tags are single precision)."""
-    name = without_pair_suffix("q_name")
-    valid, high = is_valid(F.col("block")), F.round(identity(F.col("tag_f")).cast("double"), 6) >= min_identity
-    paired = F.coalesce(F.col("tag_az")["pp"], F.lit("0")) == "1"
-    n = F.count_if
-    return records.groupBy(name.alias("name")).agg(
-        n(valid & paired).alias("paired"), n(valid & ~paired).alias("single"), n(~valid).alias("invalid"), n(valid & paired & high).alias("hi_paired"), n(valid & ~paired & high).alias("hi_single")
-    )
+def truth_flag(path: Column, p_start: Column, loci: Column) -> Column:
+    """For the first truth locus on the record's first oriented node, two bits at twice its number: 2, and 1 more if the
+    offsets agree; 0 if there is none. More than four loci are an error."""
+    first = F.get(oriented_path(path), F.lit(0))
+    at = F.array_position(F.transform(loci, lambda x: F.struct(x["forward"].alias("forward"), x["node_id"].alias("node_id"))), first) - 1
+    same = F.get(loci, at.cast("int"))["offset"] == p_start
+    flag = F.when(F.coalesce(at, F.lit(-1)) < 0, 0).otherwise((F.lit(2) + same.cast("int")) * F.pow(F.lit(4), at).cast("int"))
+    return F.when(F.size(loci) > 4, F.raise_error(F.lit("too many ground truth fragments"))).otherwise(flag)
 
 
-def read_class(c: dict[str, Column] | None = None) -> Column:
-    """One of ten exclusive classes: N, high or low identity, unique or multiple, paired or single."""
-    col = c or {k: F.col(k) for k in ("paired", "single", "hi_paired", "hi_single")}
-    pairs = F.floor((col["paired"] + 1) / 2)
-    hi_pairs = F.floor((col["hi_paired"] + 1) / 2)
-    return (
-        F.when((hi_pairs == 1) & (pairs == 1), "NHUP").when(hi_pairs == 1, "NMXP").when(hi_pairs > 1, "NHMP").when(pairs == 1, "NLUP").when(pairs > 1, "NLMP")
-        .when(col["hi_single"] == 1, "NHUS").when(col["hi_single"] > 1, "NHMS").when(col["single"] == 1, "NLUS").when(col["single"] > 1, "NLMS").otherwise("NINV")
+def held_back(records: DataFrame, block: str | None = None, bucket: int = 65_536) -> DataFrame:
+    """records with mate (name, next, high of the record before, where that one waits for this one) and held (this one waits).
+
+    A valid record that names its next fragment (tag fn) waits for the next record, unless the one before it waits already.
+    So in a run of such records every other one waits, the first among them: it is enough to know how far back the last
+    other record is, which is found by a window in each range of lines and one over the ranges. line must ascend by one
+    within a file; block: a column with the file.
+    """
+    key = [block] if block else []
+    r = records.withColumn("__next", F.coalesce(F.col("tag_az")["fn"], F.lit(""))).withColumn("__b", F.floor(F.col("line") / bucket))
+    starts = is_valid(F.col("block")) & (F.col("__next") != "")
+    r = r.withColumn("__stop", F.when(~starts, F.col("line")))
+    ranges = r.groupBy(*key, "__b").agg(F.max("__stop").alias("__s"), F.min("line").alias("__l"))
+    over = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
+    ranges = ranges.select(*key, "__b", F.max("__s").over(over.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__s"), (F.min("__l").over(over) - 1).alias("__l"))
+    within = F.max("__stop").over(W.partitionBy(*key, "__b").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    r = r.withColumn("__w", within).join(ranges, [*key, "__b"])
+    r = r.withColumn("held", starts & ((F.col("line") - F.coalesce("__w", "__s", "__l")) % 2 == 1)).drop("__stop", "__w", "__s", "__l", "__b")
+    waits = r.where("held").select(*key, (F.col("line") + 1).alias("line"), F.struct(F.col("q_name").alias("name"), F.col("__next").alias("next"), identity(F.col("tag_f")).alias("identity")).alias("mate"))
+    return r.drop("__next").join(waits, [*key, "line"], "left")
+
+
+def per_read_counts(records: DataFrame, loci: DataFrame | None = None, min_identity: float = 0.9, block: str | None = None) -> DataFrame:
+    """name, paired, single, invalid, hi_paired, hi_single, flag of every read name.
+
+    A record that waits (see held_back) and the next one are a pair, counted for the second's name, if the second is valid,
+    has the name awaited and names the first (tag fp): high if both are, else a single high one if either is. Otherwise the
+    one that waited is a single, and so is the second if it is valid. What waits at the end of a file counts as nothing.
+    flag: the truth flags of all valid records. Identities are rounded to six digits, since tags are single precision.
+    """
+    high = lambda x: F.coalesce(F.round(x.cast("double"), 6) >= min_identity, F.lit(False))
+    r = held_back(records, block).withColumn("valid", is_valid(F.col("block"))).withColumn("high", high(identity(F.col("tag_f"))))
+    r = r.withColumn("waited", F.col("mate").isNotNull()).withColumn("mate_high", high(F.col("mate.identity")))
+    met = F.col("waited") & F.col("valid") & (F.col("q_name") == F.col("mate.next")) & (F.col("mate.name") == F.coalesce(F.col("tag_az")["fp"], F.lit("")))
+    r = r.withColumn("met", F.coalesce(met, F.lit(False)))
+    if loci is None:
+        r = r.withColumn("flag", F.lit(0))
+    else:
+        r = r.join(loci.select(F.col("q_name").alias("__name"), "loci"), F.col("q_name") == F.col("__name"), "left")
+        r = r.withColumn("flag", F.when(F.col("valid") & F.col("loci").isNotNull(), truth_flag(F.col("path"), F.col("p_start"), F.col("loci"))).otherwise(0))
+    alone = F.col("valid") & ~F.col("met") & ~F.col("held")
+    one = lambda c: c.cast("long")
+    own = F.struct(
+        F.col("q_name").alias("name"), one(F.col("met")).alias("paired"), one(alone).alias("single"), one(~F.col("valid")).alias("invalid"), one(F.col("met") & F.col("high") & F.col("mate_high")).alias("hi_paired"),
+        (one(F.col("met") & (F.col("high") != F.col("mate_high"))) + one(alone & F.col("high"))).alias("hi_single"), F.col("flag").alias("flag"),
     )
+    none = F.lit(0).cast("long")
+    left = F.struct(F.col("mate.name").alias("name"), none.alias("paired"), F.lit(1).cast("long").alias("single"), none.alias("invalid"), none.alias("hi_paired"), one(F.col("mate_high")).alias("hi_single"), F.lit(0).alias("flag"))
+    each = r.select(F.explode(F.when(F.col("waited") & ~F.col("met"), F.array(own, left)).otherwise(F.array(own))).alias("e")).select("e.*")
+    sums = [F.sum(c).alias(c) for c in ("paired", "single", "invalid", "hi_paired", "hi_single")]
+    return each.groupBy("name").agg(*sums, F.bit_or("flag").alias("flag"))
 
 
-def class_counts(counts: DataFrame) -> DataFrame:
-    """class, n of per_read_counts rows."""
-    return counts.groupBy(read_class().alias("class")).agg(F.count("*").alias("n"))
+def read_classes(truth: bool = False) -> Column:
+    """The classes of a per_read_counts row: at most one of CLASSES, then FURTHER, then one of TRUTH if there is a truth."""
+    first = F.coalesce(*[F.when(F.expr(rule), name) for name, rule in CLASSES])
+    more = [F.when(F.expr(rule), name) for name, rule in FURTHER]
+    told = [F.when(F.col("flag").isin(*flags), name) for name, flags in TRUTH.items()] if truth else []
+    return F.array_compact(F.array(first, *more, *told))
 
 
-def truth_classes(flags: DataFrame) -> DataFrame:
-    """class, n of ground_truth rows: both right, one right of two, both wrong, one alone right or wrong, and none."""
-    f = F.col("flag")
-    c = (
-        F.when(f == 15, "both_right").when(f.isin(7, 11), "one_right").when(f == 3, "both_wrong").when(f.isin(5, 10), "single_right").when(f.isin(1, 2), "single_wrong").otherwise("none")
-    )
-    return flags.groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+def class_counts(counts: DataFrame, truth: bool = False) -> DataFrame:
+    """class, n of per_read_counts rows."""
+    return counts.select(F.explode(read_classes(truth)).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-def class_sample(counts: DataFrame, wanted: str, rate: float, seed: int = 0) -> DataFrame:
-    """The reads of a class, each kept with probability rate by a hash of its name."""
-    return counts.where(read_class() == wanted).where(hashed_uniform("name", seed=seed) < rate).select("name")
+def class_sample(counts: DataFrame, wanted: str, rate: float, seed: int = 0, truth: bool = False) -> DataFrame:
+    """The counts of a class's reads, each kept with probability rate by a hash of its name."""
+    return counts.where(F.array_contains(read_classes(truth), wanted)).where(hashed_uniform("name", seed=seed) < rate)
 
 
 def header_counts(records: DataFrame) -> DataFrame:
@@ -115,11 +153,23 @@ def header_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n_records"), F.count_if(v).alias("n_valid"), F.count_if(~v).alias("n_invalid"))
 
 
-def missed_tags(records: DataFrame, tag: str = "fn", counter: str = "fp") -> DataFrame:
-    """line, line_next of neighbouring records of a read of which the first has the one tag and the second the other."""
-    w = W.partitionBy(without_last("q_name", 0)).orderBy("line")
-    r = records.withColumn("two", F.lead(F.struct("line", "tag_az")).over(w))
-    return r.where(F.map_contains_key("tag_az", F.lit(tag)) & F.map_contains_key("two.tag_az", F.lit(counter)) & (F.col("two.line") == F.col("line") + 1)).select("line", F.col("two.line").alias("line_next"))
+def end_coordinates(pairs: DataFrame, nodes: DataFrame, inner: bool = True) -> DataFrame:
+    """pairs (one, two) with v, o, u, p: the loci between which a pair's distance is asked.
+
+    The record whose path starts forward comes first. inner: from the last base of the first to that of the second (whose
+    path is read from its end); else from the start of the first to the far end of the second.
+    """
+    size = nodes.select(F.col("node_id").alias("__id"), F.length("seq").alias("__n"))
+    swap = ~F.get(oriented_path(F.col("one.path")), F.lit(0))["forward"]
+    p = pairs.withColumn("__a", F.when(swap, F.col("two")).otherwise(F.col("one"))).withColumn("__c", F.when(swap, F.col("one")).otherwise(F.col("two")))
+    node = lambda c, last: F.element_at(oriented_path(F.col(f"{c}.path")), -1 if last else 1)["node_id"]
+    p = p.withColumn("v", node("__a", inner)).withColumn("u", node("__c", inner))
+    asked = p.join(size, F.col("__id") == F.col("v" if inner else "u"), "left")
+    if inner:
+        o, q = F.col("__n") - (F.col("__a.p_len") - F.col("__a.p_end")) - 1, F.col("__c.p_len") - F.col("__c.p_end")
+    else:
+        o, q = F.col("__a.p_start"), F.col("__n") - F.col("__c.p_start") - 1
+    return asked.select(*pairs.columns, "v", o.cast("int").alias("o"), "u", q.cast("int").alias("p"))
 
 
 def reference_position(records: DataFrame, ref_starts: DataFrame) -> DataFrame:

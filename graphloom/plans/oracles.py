@@ -68,15 +68,30 @@ RANGES = "ranges AS (SELECT row, min(col) AS col_lo, max(col) AS col_hi FROM (SE
 GAF = """
 gaf0 AS (SELECT o_orderkey AS line, floor(o_orderkey / 2)::BIGINT AS read, o_orderkey % 150 + 1 AS node FROM orders),
 gaf AS (SELECT line, concat('q', floor(read * 3 / 4)::BIGINT) AS name, (line % 2)::INTEGER AS mate, line % 7 <> 0 AS fwd, node, line % 3 AS p_start,
-  CASE WHEN line % 11 = 0 THEN 0 ELSE 32 END AS block, 1 - (line % 25) / 100.0 AS identity, line % 5 < 3 AS paired FROM gaf0),
+  CASE WHEN line % 11 = 0 THEN 0 ELSE 32 END AS block, 1 - (line % 25) / 100.0 AS identity, concat('q', floor(read * 3 / 4)::BIGINT, CASE line % 2 WHEN 0 THEN '/1' ELSE '/2' END) AS full_name,
+  CASE WHEN line % 10 = 9 THEN concat('q', floor(read * 3 / 4)::BIGINT, '/1') WHEN line % 2 = 1 OR line % 13 = 0 THEN '' WHEN line % 26 = 2 THEN 'other' ELSE concat('q', floor(read * 3 / 4)::BIGINT, '/2') END AS fn,
+  CASE WHEN line % 2 = 0 OR line % 10 = 9 THEN '' WHEN line % 34 = 1 THEN 'other' ELSE concat('q', floor(read * 3 / 4)::BIGINT, '/1') END AS fp FROM gaf0),
 gaf_runs AS (SELECT *, line - row_number() OVER (PARTITION BY name ORDER BY line) AS run FROM gaf),
 gaf_mates AS (SELECT *, row_number() OVER w AS i, lead(line) OVER w AS line2 FROM gaf_runs WINDOW w AS (PARTITION BY name, run ORDER BY line)),
 gaf_pairs AS (SELECT line AS line1, line2 FROM gaf_mates WHERE i % 2 = 1 AND line2 IS NOT NULL),
-per_read AS (SELECT name, count(*) FILTER (block <> 0 AND paired) AS paired, count(*) FILTER (block <> 0 AND NOT paired) AS single, count(*) FILTER (block = 0) AS invalid,
-  count(*) FILTER (block <> 0 AND paired AND identity >= 0.9) AS hi_paired, count(*) FILTER (block <> 0 AND NOT paired AND identity >= 0.9) AS hi_single FROM gaf GROUP BY name),
-classed AS (SELECT *, CASE WHEN (hi_paired + 1) // 2 = 1 AND (paired + 1) // 2 = 1 THEN 'NHUP' WHEN (hi_paired + 1) // 2 = 1 THEN 'NMXP' WHEN (hi_paired + 1) // 2 > 1 THEN 'NHMP'
-  WHEN (paired + 1) // 2 = 1 THEN 'NLUP' WHEN (paired + 1) // 2 > 1 THEN 'NLMP' WHEN hi_single = 1 THEN 'NHUS' WHEN hi_single > 1 THEN 'NHMS'
-  WHEN single = 1 THEN 'NLUS' WHEN single > 1 THEN 'NLMS' ELSE 'NINV' END AS class FROM per_read)"""
+gaf_seq AS (SELECT line, full_name AS n, block <> 0 AS ok, block <> 0 AND identity >= 0.9 AS hi, fn, fp, block <> 0 AND fn <> '' AS starts, row_number() OVER (ORDER BY line) AS i FROM gaf),
+-- in a run of records that could wait every other one does, the first among them
+gaf_isles AS (SELECT *, i - row_number() OVER (PARTITION BY starts ORDER BY i) AS isle FROM gaf_seq),
+gaf_waits AS (SELECT *, starts AND row_number() OVER (PARTITION BY starts, isle ORDER BY i) % 2 = 1 AS waits FROM gaf_isles),
+gaf_steps AS (SELECT a.n, a.ok, a.hi, a.waits, w.n AS wn, coalesce(w.hi, false) AS whi, w.i IS NOT NULL AS waited, w.i IS NOT NULL AND a.ok AND a.n = w.fn AND a.fp = w.n AS met FROM gaf_waits a LEFT JOIN gaf_waits w ON w.i = a.i - 1 AND w.waits),
+gaf_parts AS (
+  SELECT n AS name, met::INTEGER AS paired, (ok AND NOT met AND NOT waits)::INTEGER AS single, (NOT ok)::INTEGER AS invalid, (met AND hi AND whi)::INTEGER AS hp, ((met AND hi <> whi) OR (hi AND NOT met AND NOT waits))::INTEGER AS hs FROM gaf_steps
+  UNION ALL SELECT wn, 0, 1, 0, 0, whi::INTEGER FROM gaf_steps WHERE waited AND NOT met),
+per_read AS (SELECT name, sum(paired)::BIGINT AS paired, sum(single)::BIGINT AS single, sum(invalid)::BIGINT AS invalid, sum(hp)::BIGINT AS hi_paired, sum(hs)::BIGINT AS hi_single FROM gaf_parts GROUP BY 1),
+classed AS (SELECT *, CASE WHEN hi_paired = 1 THEN 'NHUP' WHEN hi_paired <> 0 THEN 'NHMP' WHEN paired = 1 THEN 'NLUP' WHEN paired <> 0 THEN 'NLMP' WHEN hi_single = 1 THEN 'NHUS' WHEN hi_single = 2 THEN 'NHDS'
+  WHEN hi_single <> 0 THEN 'NHMS' WHEN single = 1 THEN 'NLUS' WHEN single = 2 THEN 'NLDS' WHEN single <> 0 THEN 'NLMS' END AS class FROM per_read)"""
+
+
+TRUTH = """
+loci AS (SELECT full_name, list({'f': fwd OR odd, 'n': CASE WHEN odd THEN 1 ELSE node END, 'o': CASE WHEN line % 3 = 2 THEN 0 ELSE p_start END} ORDER BY line) AS t
+  FROM (SELECT *, substr(name, 2)::BIGINT % 2 = 1 AS odd FROM gaf WHERE block <> 0) GROUP BY full_name),
+firsts AS (SELECT full_name, p_start, block, t, (SELECT min(k) FROM range(1, 9) r(k) WHERE k <= len(t) AND t[k].f = fwd AND t[k].n = node) AS k FROM gaf LEFT JOIN loci USING (full_name)),
+flags AS (SELECT full_name AS name, bit_or(CASE WHEN block = 0 OR k IS NULL THEN 0 WHEN t[k].o = p_start THEN 3 * power(4, k - 1)::INTEGER ELSE 2 * power(4, k - 1)::INTEGER END) AS flag FROM firsts GROUP BY 1)"""
 
 
 def _with(*parts: str, then: str) -> str:
@@ -210,15 +225,26 @@ SQL: dict[str, str] = {
     ),
     "gaf_pairs": _with(GAF, then="SELECT line1, line2 FROM gaf_pairs"),
     "gaf_header": _with(GAF, then="SELECT count(*) AS n_records, count(*) FILTER (block <> 0) AS n_valid, count(*) FILTER (block = 0) AS n_invalid FROM gaf"),
-    "read_classes": _with(GAF, then="SELECT class, count(*) AS n FROM classed GROUP BY class"),
-    "class_sample": _with(GAF, then="SELECT name FROM classed WHERE class = 'NHMP' AND CAST(concat('0x', substr(md5(concat('0:', name)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5"),
-    "gaf_fragments": _with(GAF, then="SELECT least(n, 3) AS n_records, count(*) AS n_reads FROM (SELECT name, count(*) AS n FROM gaf GROUP BY name) GROUP BY 1"),
+    "read_alignments": _with(GAF, TRUTH, then="SELECT name, paired, single, invalid, hi_paired, hi_single, flag FROM per_read JOIN flags USING (name)"),
+    "read_classes": _with(
+        GAF,
+        then="""SELECT class, count(*) AS n FROM (SELECT class FROM classed WHERE class IS NOT NULL UNION ALL SELECT 'NRAL' FROM per_read WHERE paired + single > 0
+        UNION ALL SELECT 'NMUL' FROM per_read WHERE paired + single > 1 UNION ALL SELECT 'NWIN' FROM per_read WHERE invalid > 0) GROUP BY class""",
+    ),
+    "class_sample": _with(GAF, then="SELECT name, paired, single, invalid, hi_paired, hi_single, 0 AS flag FROM classed WHERE class = 'NLUP' AND CAST(concat('0x', substr(md5(concat('0:', name)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5"),
+    "gaf_fragments": _with(GAF, then="SELECT least(n, 3)::INTEGER AS n_fragments, count(*) AS n_reads FROM (SELECT full_name, count(*) FILTER (block <> 0) AS n FROM gaf GROUP BY full_name) GROUP BY 1"),
     "truth_classes": _with(
         GAF,
-        """truth AS (SELECT name, mate, arg_min(fwd, line) AS f, CASE WHEN CAST(substr(name, 2) AS BIGINT) % 2 = 0 THEN arg_min(node, line) ELSE 1 END AS n, arg_min(p_start, line) AS o FROM gaf GROUP BY name, mate),
-        flags AS (SELECT name, bit_or((CASE WHEN g.mate = 0 THEN 1 ELSE 2 END) + CASE WHEN g.node = n AND g.fwd = f AND g.p_start = o THEN CASE WHEN g.mate = 0 THEN 4 ELSE 8 END ELSE 0 END) AS flag FROM gaf g JOIN truth USING (name, mate) GROUP BY name)""",
-        then="""SELECT CASE WHEN flag = 15 THEN 'both_right' WHEN flag IN (7, 11) THEN 'one_right' WHEN flag = 3 THEN 'both_wrong' WHEN flag IN (5, 10) THEN 'single_right' WHEN flag IN (1, 2) THEN 'single_wrong' ELSE 'none' END AS class,
-        count(*) AS n FROM flags GROUP BY 1""",
+        TRUTH,
+        then="""SELECT class, count(*) AS n FROM (SELECT CASE flag WHEN 15 THEN 'NFFM' WHEN 10 THEN 'NPPM' WHEN 14 THEN 'NFPM' WHEN 11 THEN 'NFPM' WHEN 12 THEN 'NFNM' WHEN 3 THEN 'NFNM' WHEN 8 THEN 'NPNM' WHEN 2 THEN 'NPNM' WHEN 0 THEN 'NNNM' END AS class FROM flags)
+        WHERE class IS NOT NULL GROUP BY class""",
+    ),
+    "pair_distance_check": _base(
+        """SELECT line1 AS line, v, o, u, p, CASE WHEN u = v THEN p - o BETWEEN 6 AND 10 ELSE EXISTS (SELECT 1 FROM pairs x WHERE x.v = a.v AND x.o = a.o AND x.u = a.u AND x.p = a.p) END AS ok FROM asked a""",
+        GAF,
+        """ends AS (SELECT line1, CASE WHEN a.fwd THEN a.node ELSE b.node END + 1 AS v, CASE WHEN a.fwd THEN b.node ELSE a.node END + 1 AS u FROM gaf_pairs JOIN gaf a ON a.line = line1 JOIN gaf b ON b.line = line2),
+        asked AS (SELECT line1, v, (length(seq) - 25 - 1)::INTEGER AS o, u, 25::INTEGER AS p FROM ends JOIN nodes ON node_id = v)""",
+        _pairs("pairs", DMIN, DMAX),
     ),
     "pair_distance": _base(
         "SELECT line1 AS line, b.ref_pos + 32 - a.ref_pos AS distance FROM gaf_pairs JOIN placed a ON a.line = line1 JOIN placed b ON b.line = line2 WHERE a.path_id = b.path_id",

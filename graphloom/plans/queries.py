@@ -503,15 +503,19 @@ def simulated_errors(spark: SparkSession, d: str) -> DataFrame:
 def gaf_lines(spark: SparkSession, d: str) -> DataFrame:
     """line, value: alignment records made from orders; two records for most reads."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("line"))
-    read = F.floor(F.col("line") / 2)
-    name = F.concat(F.lit("q"), F.floor(read * 3 / 4).cast("string"), F.when(F.col("line") % 2 == 0, "/1").otherwise("/2"))
+    line, read = F.col("line"), F.floor(F.col("line") / 2)
+    base = F.concat(F.lit("q"), F.floor(read * 3 / 4).cast("string"))
+    name = F.concat(base, F.when(line % 2 == 0, "/1").otherwise("/2"))
     node = F.col("line") % 150 + 1
     return o.select(
         "line",
         F.concat_ws(
             "\t", name, F.lit("32"), F.lit("0"), F.lit("32"), F.lit("+"), F.concat(F.when(F.col("line") % 7 == 0, "<").otherwise(">"), node.cast("string"), F.lit(">"), (node + 1).cast("string")),
             F.lit("60"), (F.col("line") % 3).cast("string"), F.lit("35"), F.lit("30"), F.when(F.col("line") % 11 == 0, "0").otherwise("32"), F.lit("60"),
-            F.concat(F.lit("dv:f:0."), F.lpad((F.col("line") % 25).cast("string"), 2, "0")), F.concat(F.lit("pp:Z:"), F.when(F.col("line") % 5 < 3, "1").otherwise("0")), F.lit("NM:i:2"), F.lit("xx:q:bad"),
+            F.concat(F.lit("dv:f:0."), F.lpad((F.col("line") % 25).cast("string"), 2, "0")), F.lit("NM:i:2"), F.lit("xx:q:bad"),
+            F.when((line % 2 == 0) & (line % 13 != 0), F.concat(F.lit("fn:Z:"), F.when(line % 26 == 2, "other").otherwise(F.concat(base, F.lit("/2"))))),
+            F.when((line % 2 == 1) & (line % 10 != 9), F.concat(F.lit("fp:Z:"), F.when(line % 34 == 1, "other").otherwise(F.concat(base, F.lit("/1"))))),
+            F.when(line % 10 == 9, F.concat(F.lit("fn:Z:"), base, F.lit("/1"))),
         ).alias("value"),
     )
 
@@ -538,6 +542,19 @@ def gaf_header(spark: SparkSession, d: str) -> DataFrame:
     return alignments.header_counts(_gaf(spark, d))
 
 
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """Truth loci: those of the records themselves, but node 1 for odd reads and offset 0 for every third line."""
+    odd = F.regexp_extract("q_name", "^q([0-9]+)", 1).cast("long") % 2 == 1
+    g = _gaf(spark, d).withColumn("path", F.when(odd, ">1").otherwise(F.col("path"))).withColumn("p_start", F.when(F.col("line") % 3 == 2, 0).otherwise(F.col("p_start")))
+    return alignments.truth_loci(g)
+
+
+@query
+def read_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Every read's counts of pairs, singles and invalid records, and its truth flag."""
+    return alignments.per_read_counts(_gaf(spark, d), _truth(spark, d))
+
+
 @query
 def read_classes(spark: SparkSession, d: str) -> DataFrame:
     return alignments.class_counts(alignments.per_read_counts(_gaf(spark, d)))
@@ -545,24 +562,26 @@ def read_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_sample(spark: SparkSession, d: str) -> DataFrame:
-    return alignments.class_sample(alignments.per_read_counts(_gaf(spark, d)), "NHMP", 0.5)
+    return alignments.class_sample(alignments.per_read_counts(_gaf(spark, d)), "NLUP", 0.5)
 
 
 @query
 def gaf_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return alignments.fragments(_gaf(spark, d))
+    return alignments.fragments(_truth(spark, d))
 
 
 @query
 def truth_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Truth: for even reads the first nodes that the records have, for odd ones node 1."""
-    g = _gaf(spark, d).withColumn("mate", F.when(F.col("q_name").endswith("/2"), 1).otherwise(0))
-    read = scalar.without_pair_suffix("q_name")
-    first = F.get(alignments.oriented_path(F.col("path")), F.lit(0))
-    t = g.groupBy(read.alias("q_name"), "mate").agg(F.min_by(F.struct(first["node_id"].alias("n"), first["forward"].alias("f"), F.col("p_start").alias("o")), "line").alias("t"))
-    even = F.substr("q_name", F.lit(2)).cast("long") % 2 == 0
-    truth = t.select("q_name", "mate", F.col("t.f").alias("forward"), F.when(even, F.col("t.n")).otherwise(1).alias("node_id"), F.col("t.o").alias("offset"))
-    return alignments.truth_classes(alignments.ground_truth(_gaf(spark, d), truth))
+    return alignments.class_counts(alignments.per_read_counts(_gaf(spark, d), _truth(spark, d)), truth=True).where(F.col("class").isin(*alignments.TRUTH))
+
+
+@query
+def pair_distance_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each pair's inner distance is one that the distance index has."""
+    n, e = _graph(spark, d)
+    pairs = alignments.consecutive_pairs(_gaf(spark, d).select("line", "q_name", "path", "p_len", "p_start", "p_end"))
+    asked = alignments.end_coordinates(pairs, n).select(F.col("one.line").alias("line"), "v", "o", "u", "p")
+    return distance.verify(asked, distance.distance_pairs(n, e, DMIN, DMAX), DMIN, DMAX).select("line", "v", "o", "u", "p", "ok")
 
 
 @query

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import pytest
 import tiny
 from pyspark.sql import functions as F
@@ -115,10 +116,63 @@ def test_metrics(spark):
     assert tiny.TEXTS[0] == "CAAATAAG"
 
 
-def test_neighbouring_tags(spark):
-    rows = [(0, "r", {"fn": "1"}), (1, "r", {"fp": "1"}), (2, "r", {"fn": "1"}), (4, "r", {"fp": "1"}), (5, "q", {})]
-    df = spark.createDataFrame(rows, "line long, q_name string, tag_az map<string,string>")
-    assert [tuple(r) for r in alignments.missed_tags(df).collect()] == [(0, 1)]
+def plain_counts(rows):
+    """The records one after the other: (name, fn, fp, valid, high)."""
+    out, wait = {}, None
+    for name, fn, fp, valid, high in rows:
+        own = out.setdefault(name, [0] * 5)
+        if wait and not (valid and name == wait[1] and fp == wait[0]):
+            out[wait[0]][1] += 1
+            out[wait[0]][4] += wait[2]
+            wait, broke = None, True
+        else:
+            broke = False
+        if not valid:
+            own[2] += 1
+        elif wait:
+            own[0] += 1
+            own[3] += high and wait[2]
+            own[4] += high != wait[2]
+            wait = None
+        elif fn and not broke:
+            wait = (name, fn, high)
+        else:
+            own[1] += 1
+            own[4] += high
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def _as_records(spark, rows):
+    made = [(i, n, ">1", 0, 1 if valid else 0, {k: v for k, v in (("fn", fn), ("fp", fp)) if v}, {"id": 0.95 if high else 0.5}) for i, (n, fn, fp, valid, high) in enumerate(rows)]
+    return spark.createDataFrame(made, "line long, q_name string, path string, p_start long, block long, tag_az map<string,string>, tag_f map<string,float>")
+
+
+def test_records_that_wait_for_their_mates(spark):
+    by_hand = [
+        ("a", "b", "", True, True), ("b", "", "a", True, True),  # a pair, both high
+        ("c", "d", "", True, True), ("d", "", "x", True, False),  # the second names another: both single
+        ("e", "f", "", True, False), ("f", "", "e", False, False),  # the second is invalid
+        ("g", "h", "", True, False), ("h", "i", "g", True, True),  # a pair, one high; the second's own fn does not count
+        ("i", "j", "", True, True), ("k", "l", "", True, True), ("l", "", "k", True, True),  # the second cannot wait: all single
+        ("m", "n", "", True, True),  # waits at the end: nothing
+    ]
+    want = {"a": (0,) * 5, "b": (1, 0, 0, 1, 0), "c": (0, 1, 0, 0, 1), "d": (0, 1, 0, 0, 0), "e": (0, 1, 0, 0, 0), "f": (0, 0, 1, 0, 0), "g": (0,) * 5, "h": (1, 0, 0, 0, 1)}
+    want |= {"i": (0, 1, 0, 0, 1), "k": (0, 1, 0, 0, 1), "l": (0, 1, 0, 0, 1), "m": (0,) * 5}
+    assert plain_counts(by_hand) == want
+    got = alignments.per_read_counts(_as_records(spark, by_hand)).collect()
+    assert {r.name: (r.paired, r.single, r.invalid, r.hi_paired, r.hi_single) for r in got} == want
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice(["", "a", "b", "b"]), rng.choice(["", "a", "b"]), rng.random() < 0.9, rng.random() < 0.5) for _ in range(300)]
+    r = alignments.held_back(_as_records(spark, rows), bucket=16)
+    assert r.count() == 300
+    got = alignments.per_read_counts(_as_records(spark, rows)).collect()
+    assert {r.name: (r.paired, r.single, r.invalid, r.hi_paired, r.hi_single) for r in got} == plain_counts(rows)
+
+
+def test_truth_flags(spark):
+    loci = F.expr("array(named_struct('forward', true, 'node_id', 1L, 'offset', 5L), named_struct('forward', false, 'node_id', 2L, 'offset', 7L))")
+    flag = lambda path, start: spark.range(1).select(alignments.truth_flag(F.lit(path), F.lit(start), loci).alias("f")).first().f
+    assert [flag(">1>9", 5), flag(">1", 6), flag("<2>1", 7), flag("<2", 0), flag(">2", 7), flag(">8", 5)] == [3, 2, 12, 8, 0, 0]
 
 
 def test_containment_and_algebra(spark):
