@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
         "reach AS (SELECT min(node_id) AS node_id, 0 AS level FROM nodes GROUP BY comp UNION SELECT e.dst, level + 1 FROM reach r JOIN edges e ON e.src = r.node_id WHERE level < 60)",
         then="SELECT node_id, min(level) AS level FROM reach GROUP BY node_id",
     ),
-    "induced_graph": _base("SELECT DISTINCT src, dst FROM (SELECT node_id AS src, lead(node_id) OVER (PARTITION BY path_id ORDER BY pos) AS dst FROM path_steps WHERE path_id % 2 = 0) WHERE dst IS NOT NULL"),
+    "induced_graph": _base("SELECT DISTINCT src, dst FROM (SELECT node_id AS src, lead(node_id) OVER (PARTITION BY path_id ORDER BY pos) AS dst FROM path_steps) WHERE dst IS NOT NULL"),
     "graph_kwalks": _base("SELECT node_id, node_offset, kmer, count(*) AS n_walks FROM kwalks GROUP BY ALL", WALKS),
     "count_kmers": _base("SELECT count(*) AS n_walks FROM kwalks", WALKS),
     "loci_stepped": _base(
@@ -149,23 +149,24 @@ SQL: dict[str, str] = {
         "SELECT src * 10 + dst - src AS walk_id, a.path_id, a.pos FROM edges JOIN path_steps a ON a.node_id = src JOIN path_steps b ON b.node_id = dst AND b.path_id = a.path_id AND b.pos = a.pos + 1"
     ),
     "covered_walks": _base(
-        "SELECT DISTINCT src * 10 + dst - src AS walk_id FROM edges JOIN path_steps a ON a.node_id = src JOIN path_steps b ON b.node_id = dst AND b.path_id = a.path_id AND b.pos = a.pos + 1 WHERE a.path_id % 2 = 0"
+        "SELECT DISTINCT src * 10 + dst - src AS walk_id FROM edges JOIN path_steps a ON a.node_id = src JOIN path_steps b ON b.node_id = dst AND b.path_id = a.path_id AND b.pos = a.pos + 1"
     ),
     "walk_coverage": _base(
         """SELECT src * 10 + dst - src AS walk_id, (SELECT count(DISTINCT a.path_id) FROM path_steps a JOIN path_steps b ON b.path_id = a.path_id AND b.pos = a.pos + 1 WHERE a.node_id = src AND b.node_id = dst) AS n_paths FROM edges"""
     ),
     "path_contains": _base(
-        """SELECT path_id, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS run, false AS gap, count(*) FILTER (pos IN (1, 2, 3)) = 3 AS rev, count(*) FILTER (pos IN (0, 2)) = 2 AS any_order,
-        count(*) FILTER (pos IN (1, 2, 3)) = 3 AS by_rank FROM path_steps WHERE path_id % 2 = 0 GROUP BY path_id"""
+        """SELECT path_id, coalesce(p[x + 1] = f + 4 AND p[x + 2] = f + 6, false) AS run, coalesce(p[2] = f + 1, false) AS gap, coalesce(p[x + 1] = f + 4 AND p[x + 2] = f + 6, false) AS rev, list_contains(p, f + 4) AS any_order,
+        coalesce(p[x + 1] = f + 4 AND p[x + 2] = f + 6, false) AS by_rank FROM (SELECT path_id, p, p[1] AS f, list_position(p, p[1] + 2) AS x FROM (SELECT path_id, list(node_id ORDER BY pos) AS p FROM path_steps GROUP BY path_id))"""
     ),
     "path_algebra": _base(
-        "SELECT path_id, (count(*) FILTER (pos < 9))::INTEGER AS back, (count(*) FILTER (pos > 9))::INTEGER AS front, (count(*) FILTER (pos <= 9))::INTEGER AS back_kept FROM path_steps WHERE path_id % 2 = 1 GROUP BY path_id"
+        """SELECT path_id, CASE WHEN x IS NULL THEN len(p) ELSE x - 1 END::INTEGER AS back, CASE WHEN x IS NULL THEN len(p) ELSE len(p) - x END::INTEGER AS front, CASE WHEN x IS NULL THEN len(p) ELSE x END::INTEGER AS back_kept
+        FROM (SELECT path_id, p, nullif(list_position(p, p[1] + 9), 0) AS x FROM (SELECT path_id, list(node_id ORDER BY pos) AS p FROM path_steps GROUP BY path_id))"""
     ),
     "path_trim_by_length": _base("SELECT path_id, count(*) AS n_steps FROM starts JOIN texts USING (path_id) WHERE length(text) - start > 20 GROUP BY path_id"),
     "edge_kmers": _base("SELECT path_id, arg_min(node_id, text_pos) AS node_id, arg_min(node_offset, text_pos) AS node_offset FROM path_kmers GROUP BY path_id"),
     "path_mappings": _base("SELECT path_id, pos + 1 AS rank, node_id, size AS n_bases FROM starts"),
     "path_marked": _base("SELECT path_id, count(*) FILTER (size > 1) AS n_marked FROM starts GROUP BY path_id"),
-    "induced_nodes": _base("SELECT DISTINCT node_id FROM path_steps WHERE path_id % 2 = 0"),
+    "induced_nodes": _base("SELECT DISTINCT node_id FROM path_steps"),
     "seeds_on_paths": _base(_ON),
     "seeds_on_paths_limited": _base(_ON + " WHERE gocc <= 1"),
     "seeds_all_loci": _base(
@@ -181,14 +182,15 @@ SQL: dict[str, str] = {
         "SELECT count(*) AS n_hits, count(*) FILTER (off) AS n_off_paths, count(DISTINCT read_id) AS n_reads FROM (SELECT read_id, false AS off FROM on_paths UNION ALL SELECT read_id, true FROM off_paths)", WALKS, UNCOVERED, OFF
     ),
     "read_matches_whole": _base(
-        """SELECT m.node_id, m.node_offset, r.read_id, x.path_id, m.text_pos FROM texts x JOIN position_map m ON m.path_id = x.path_id JOIN reads r ON substr(text, m.text_pos::INTEGER + 1, 9) = left(r.seq, 9)"""
+        """SELECT m.node_id, m.node_offset, r.read_id, x.path_id, m.text_pos FROM texts x JOIN position_map m ON m.path_id = x.path_id
+        JOIN (SELECT read_id, seq FROM reads UNION ALL SELECT -path_id - 1, substr(text, 4, 32) FROM texts WHERE length(text) >= 35) r ON substr(text, m.text_pos::INTEGER + 1, 32) = r.seq"""
     ),
     "prefix_counts": _base("SELECT prefix, count(*) AS n FROM (SELECT substr(text, i::INTEGER + 1, m::INTEGER) AS prefix FROM texts, unnest(range(length(text))) t(i), unnest(range(1, 5)) u(m) WHERE i + m <= length(text)) GROUP BY prefix"),
     "linear_reference_seeds": _base(
-        """SELECT 1::BIGINT AS node_id, i AS node_offset, read_id, read_offset, 5 AS match_len, count(*) OVER (PARTITION BY read_id, read_offset) AS gocc FROM texts, unnest(range(length(text) - 4)) t(i)
-        JOIN (SELECT read_id, j AS read_offset, substr(seq, j::INTEGER + 1, 5) AS kmer FROM reads, unnest(range(0, length(seq) - 4, 5)) s(j)) r ON r.kmer = substr(text, i::INTEGER + 1, 5) WHERE path_id = 1"""
+        f"""SELECT path_id AS node_id, i AS node_offset, read_id, read_offset, {K} AS match_len, count(*) OVER (PARTITION BY read_id, read_offset) AS gocc FROM texts, unnest(range(length(text) - {K} + 1)) t(i)
+        JOIN read_kmers r ON r.kmer = substr(text, i::INTEGER + 1, {K})"""
     ),
-    "doc_benchmark_kmers": """WITH a AS (SELECT DISTINCT item_id, array_to_string(w[i::INTEGER : i::INTEGER + 5], ' ') AS kmer FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), unnest(range(1, len(w) - 4, 6)) t(i)),
+    "doc_benchmark_kmers": """WITH a AS (SELECT DISTINCT item_id, array_to_string(w[i::INTEGER : i::INTEGER + 5], ' ') AS kmer FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), unnest(range(1, len(w) - 4)) t(i)),
       b AS (SELECT DISTINCT doc_id, array_to_string(w[i::INTEGER : i::INTEGER + 5], ' ') AS kmer FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), unnest(range(1, len(w) - 4)) t(i))
       SELECT doc_id, item_id, count(*) AS n FROM a JOIN b USING (kmer) GROUP BY doc_id, item_id""",
     "distance_pairs": _base("SELECT v, o, u, p FROM pairs", _pairs("pairs", DMIN, DMAX)),
@@ -250,7 +252,7 @@ SQL: dict[str, str] = {
         "SELECT line1 AS line, b.ref_pos + 32 - a.ref_pos AS distance FROM gaf_pairs JOIN placed a ON a.line = line1 JOIN placed b ON b.line = line2 WHERE a.path_id = b.path_id",
         GAF,
         """hits AS (SELECT line, path_id, start + CASE WHEN i = 0 THEN p_start ELSE 0 END AS ref_pos, row_number() OVER (PARTITION BY line ORDER BY i, path_id, start) AS r
-          FROM gaf, unnest(range(2)) t(i) JOIN starts s ON s.node_id = node + i WHERE path_id % 2 = 1),
+          FROM gaf, unnest(range(2)) t(i) JOIN starts s ON s.node_id = node + i WHERE path_id IN (SELECT arg_max(path_id, n * 1000000 + path_id) FROM path_steps JOIN (SELECT path_id, count(*) AS n FROM path_steps GROUP BY path_id) USING (path_id) GROUP BY node_id)),
         placed AS (SELECT line, path_id, ref_pos FROM hits WHERE r = 1)""",
     ),
     "run_metrics": """WITH runs AS (SELECT s_suppkey AS run, s_suppkey % 100 + 1 AS n_reads, s_suppkey % 1000 AS hits, s_suppkey % 10 AS off_hits, s_suppkey % 60 / 4.0 AS query_s, s_suppkey % 100 * 36.0 AS traverse_s,

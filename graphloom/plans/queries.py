@@ -85,8 +85,8 @@ def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def induced_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The edges that the sparser paths induce."""
-    return graph.induced_edges(workload.path_steps(spark, d).where("path_id % 2 = 0"))
+    """The edges that the paths induce."""
+    return graph.induced_edges(workload.path_steps(spark, d))
 
 
 @query
@@ -211,9 +211,8 @@ def path_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def covered_walks(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that the sparser paths hold."""
-    s = workload.path_steps(spark, d).where("path_id % 2 = 0")
-    return paths.covered(_edge_walks(spark, d), s).select("walk_id")
+    """Edges that the paths hold."""
+    return paths.covered(_edge_walks(spark, d), workload.path_steps(spark, d)).select("walk_id")
 
 
 @query
@@ -223,8 +222,8 @@ def walk_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_contains(spark: SparkSession, d: str) -> DataFrame:
-    """For each sparser path, whether it holds three nodes in a row, in reverse, in any order, and by rank."""
-    s = workload.path_steps(spark, d).where("path_id % 2 = 0").groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("p"))
+    """For each path, whether it holds three nodes in a row, in reverse, in any order, and by rank."""
+    s = workload.path_steps(spark, d).groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("p"))
     first = F.element_at("p", 1)
     run = F.array(first + 2, first + 4, first + 6)
     return s.select(
@@ -235,8 +234,8 @@ def path_contains(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_algebra(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes left of each full path after trims by node at the back and front."""
-    s = workload.path_steps(spark, d).where("path_id % 2 = 1").groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("p"))
+    """Nodes left of each path after trims by node at the back and front."""
+    s = workload.path_steps(spark, d).groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("p"))
     node = F.element_at("p", 1) + 9
     return s.select("path_id", F.size(paths.trimmed_back(F.col("p"), node)).alias("back"), F.size(paths.trimmed_front(F.col("p"), node)).alias("front"), F.size(paths.trimmed_back(F.col("p"), node, False)).alias("back_kept"))
 
@@ -272,7 +271,7 @@ def path_marked(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def induced_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.induced_nodes(workload.path_steps(spark, d).where("path_id % 2 = 0"))
+    return graph.induced_nodes(workload.path_steps(spark, d))
 
 
 # --- seeds -----------------------------------------------------------------------------------------------------------
@@ -350,10 +349,10 @@ def finder_patched(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_matches_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Ten-base heads of reads, whole, on paths."""
-    n, s = workload.nodes(spark, d), workload.path_steps(spark, d)
-    heads = workload.reads(spark, d).select("read_id", F.left("seq", F.lit(9)).alias("seq"))
-    return seeds.whole_reads(paths.path_texts(s, n), _path_kmers(spark, d), heads, K)
+    """Whole reads on paths: the reads, and one read of 32 bases from each path, with negative numbers."""
+    texts = paths.path_texts(workload.path_steps(spark, d), workload.nodes(spark, d))
+    own = texts.where(F.length("text") >= 35).select((-F.col("path_id") - 1).alias("read_id"), F.substr("text", F.lit(4), F.lit(32)).alias("seq"))
+    return seeds.whole_reads(texts, _path_kmers(spark, d), workload.reads(spark, d).select("read_id", "seq").union(own), K)
 
 
 @query
@@ -369,26 +368,28 @@ def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def linear_reference_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Reads against one linear text: the first path as a graph of one node."""
-    text = paths.path_texts(workload.path_steps(spark, d).where("path_id = 1"), workload.nodes(spark, d)).select(F.lit(1).cast("long").alias("node_id"), F.col("text").alias("seq"))
-    index = km.kmers(text, 5, key=("node_id",), at="node_offset")
-    return seeds.on_paths(index, km.kmers(workload.reads(spark, d), 5, policy="non_overlapping"), 5)
+    """Reads against linear texts: every path as a graph of one node."""
+    text = paths.path_texts(workload.path_steps(spark, d), workload.nodes(spark, d)).select(F.col("path_id").alias("node_id"), F.col("text").alias("seq"))
+    index = km.kmers(text, K, key=("node_id",), at="node_offset")
+    return seeds.on_paths(index, km.kmers(workload.reads(spark, d), K, policy="non_overlapping"), K)
 
 
-def _word_runs(df: DataFrame, key: str, step: int, k: int = 6) -> DataFrame:
-    """key, kmer: distinct runs of k words, from every step-th word on."""
-    words = F.split("text", " ")
-    w = df.select(key, words.alias("w")).where(F.size("w") >= k)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1, F.lit(step)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-    return w.select(key, F.explode(runs).alias("kmer")).distinct()
+def _word_runs(df: DataFrame, key: str, k: int = 6) -> DataFrame:
+    """key, kmer: runs of k words."""
+    w = df.select(key, F.split("text", " ").alias("w")).where(F.size("w") >= k)
+    return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))).alias("kmer"))
 
 
 @query
 def doc_benchmark_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, item_id, n: runs of six words shared by benchmark items (at steps of six words) and documents."""
+    """doc_id, item_id, n: distinct runs of six words shared by benchmark items and documents.
+
+    The items' runs, far fewer, are joined first (by broadcast while Spark finds them small enough); only what is shared is
+    made distinct.
+    """
     docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
-    a, b = _word_runs(items, "item_id", 6), _word_runs(docs, "doc_id", 1)
-    return b.join(a, "kmer").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    shared = _word_runs(docs, "doc_id").join(_word_runs(items, "item_id").distinct(), "kmer").distinct()
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
 @query
@@ -587,7 +588,11 @@ def pair_distance_check(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pair_distance(spark: SparkSession, d: str) -> DataFrame:
     g = _gaf(spark, d)
-    starts = paths.step_starts(workload.path_steps(spark, d), workload.nodes(spark, d)).where("path_id % 2 = 1").select("path_id", "node_id", "start")
+    # reference paths may not share nodes: those that are the longest path of some node
+    steps = workload.path_steps(spark, d)
+    longest = steps.join(steps.groupBy("path_id").agg(F.count("*").alias("n")), "path_id").groupBy("node_id").agg(F.max_by("path_id", F.struct("n", "path_id")).alias("path_id"))
+    steps = steps.join(longest.select("path_id").distinct(), "path_id", "left_semi")
+    starts = paths.step_starts(steps, workload.nodes(spark, d)).select("path_id", "node_id", "start")
     pairs = alignments.consecutive_pairs(g.select("line", "q_name", "q_len"))
     return alignments.pair_distances(pairs, staged(alignments.reference_position(g, starts), "positions"))
 

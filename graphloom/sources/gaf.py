@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.lines import numbered_lines
+
 FIELDS = ("q_name", "q_len", "q_start", "q_end", "q_fwd", "path", "p_len", "p_start", "p_end", "match", "block", "qual")
 _TEXT = ("q_name", "path")
 
@@ -36,12 +38,12 @@ def parse(lines: DataFrame) -> DataFrame:
             cols.append((x if name == "path" else F.when(x == "*", "").otherwise(x)).alias(name))
         else:
             cols.append(F.when(x == "*", 0).otherwise(x.try_cast("long")).cast("long").alias(name))
-    return f.select("line", *cols, _tags("AZ", "string").alias("tag_az"), _tags("i", "int").alias("tag_i"), _tags("f", "float").alias("tag_f"))
+    return f.select(*["file"] * ("file" in lines.columns), "line", *cols, _tags("AZ", "string").alias("tag_az"), _tags("i", "int").alias("tag_i"), _tags("f", "float").alias("tag_f"))
 
 
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:
-    """Records with line: ascending within a file, and by one within a part of it."""
-    return parse(spark.read.text(path).where("value <> '' and value not like '#%'").select(F.monotonically_increasing_id().alias("line"), "value"))
+    """Records with file and line, their number in the file, ascending by one."""
+    return parse(numbered_lines(spark, path, (F.col("value") != "") & ~F.col("value").startswith("#")))
 
 
 def as_lines(records: DataFrame) -> DataFrame:

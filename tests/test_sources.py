@@ -116,6 +116,27 @@ def test_metrics(spark):
     assert tiny.TEXTS[0] == "CAAATAAG"
 
 
+def test_records_of_many_splits_and_files(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for f, n in (("a", 150), ("b", 90)):
+            (tmp_path / f"{f}.fastq").write_text("".join(f"@{f}{i}\n{'ACGT' * (i % 9 + 1)}\n+\n@{'I' * (4 * (i % 9 + 1) - 1)}\n" for i in range(n)) + "@broken\nAC\n" * (f == "a"))
+            (tmp_path / f"{f}.fasta").write_text("".join(f">{f}{i}\nACGT\nAC\n" for i in range(n)))
+            (tmp_path / f"{f}.gaf").write_text("#header\n" + "".join(f"{f}{i // 2}/{i % 2 + 1}\t4\t0\t4\t+\t>1\t4\t0\t4\t4\t4\t60\n" for i in range(2 * n)))
+        want = [f"a{i}" for i in range(150)] + [f"b{i}" for i in range(90)]
+        got = reads.read_fastq(spark, f"file://{tmp_path}/*.fastq").orderBy("read_id").collect()
+        assert [r.name for r in got] == want and [r.read_id for r in got] == list(range(240)) and all(len(r.seq) == len(r.qual) for r in got)
+        got = reads.read_fasta(spark, f"file://{tmp_path}/*.fasta").orderBy("read_id").collect()
+        assert [r.name for r in got] == want and [r.read_id for r in got] == list(range(240)) and {r.seq for r in got} == {"ACGTAC"}
+        records = gaf.read_gaf(spark, f"file://{tmp_path}/*.gaf")
+        assert records.groupBy("file").agg(F.max("line").alias("m"), F.count("*").alias("n")).where("m <> n - 1").count() == 0
+        pairs = alignments.consecutive_pairs(records.select("file", "line", "q_name"), "file").collect()
+        assert sorted(r.one.q_name[:-2] for r in pairs) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def plain_counts(rows):
     """The records one after the other: (name, fn, fp, valid, high)."""
     out, wait = {}, None
