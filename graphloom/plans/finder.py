@@ -56,6 +56,9 @@ class SeedFinder:
     def save(self, prefix: str) -> None:
         p, i = self.params, self._built()
         tables.save(i.path_kmers, f"{prefix}_paths", "paths", k=p.k, paths=p.paths, patched=p.patched, context=p.flank)
+        tables.save(i.path_steps, f"{prefix}_steps", "steps", paths=p.paths, patched=p.patched, context=p.flank)
+        if i.ends is not None:
+            tables.save(i.ends, f"{prefix}_ends", "ends", paths=p.paths, patched=p.patched, context=p.flank)
         tables.save(i.loci, tables.loci_name(prefix, p.k, p.loci_step), "loci", k=p.k, step=p.loci_step)
         if i.distances is not None:
             tables.save(i.distances, tables.distance_name(prefix, p.dmin, p.dmax), "distances", dmin=p.dmin, dmax=p.dmax)
@@ -64,9 +67,10 @@ class SeedFinder:
         """The saved index; loci or distances that are missing are made again, and saved there."""
         p, spark = self.params, self.nodes.sparkSession
         found = tables.load(spark, f"{prefix}_paths", "paths", k=p.k, paths=p.paths, patched=p.patched, context=p.flank)
+        steps = tables.load(spark, f"{prefix}_steps", "steps", paths=p.paths, patched=p.patched, context=p.flank)
+        ends = tables.load(spark, f"{prefix}_ends", "ends", paths=p.paths, patched=p.patched, context=p.flank) if tables.exists(spark, f"{prefix}_ends") else None
         at = tables.loci_name(prefix, p.k, p.loci_step)
         if not tables.exists(spark, at):
-            steps, _ = self.pick_paths()
             tables.save(walks.uncovered_loci(self.nodes, self.edges, steps, p.k, p.loci_step), at, "loci", k=p.k, step=p.loci_step)
         loci = tables.load(spark, at, "loci", k=p.k, step=p.loci_step)
         far = None
@@ -75,8 +79,7 @@ class SeedFinder:
             if not tables.exists(spark, there):
                 tables.save(distance.distance_pairs(self.nodes, self.edges, p.dmin, p.dmax), there, "distances", dmin=p.dmin, dmax=p.dmax)
             far = tables.load(spark, there, "distances", dmin=p.dmin, dmax=p.dmax)
-        empty = found.select(F.col("path_id"), F.lit(0).alias("pos"), "node_id").limit(0)
-        self.index = Index(empty, None, found, loci, far)
+        self.index = Index(steps, ends, found, loci, far)
         return self.index
 
     def _built(self) -> Index:

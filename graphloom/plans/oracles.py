@@ -225,6 +225,11 @@ SQL: dict[str, str] = {
         GAF,
         then="SELECT line, concat(name, CASE WHEN mate = 0 THEN '/1' ELSE '/2' END) AS q_name, 32::BIGINT AS q_len, true AS q_fwd, p_start, block::BIGINT AS block, node AS first_node, fwd AS first_forward, 2 AS nm, round(CAST(identity AS DOUBLE), 4) AS identity FROM gaf",
     ),
+    "source_gfa": _base("SELECT 'S' AS kind, node_id AS a, length(seq)::BIGINT AS b, seq AS text FROM nodes UNION ALL SELECT 'L', src, dst, '' FROM edges UNION ALL SELECT 'P', pos, node_id, CAST(path_id AS VARCHAR) FROM path_steps"),
+    "source_fasta": _base("SELECT concat('r', read_id) AS name, seq FROM reads"),
+    "source_fastq": _base("SELECT concat('r', read_id) AS name, seq, repeat('I', length(seq)) AS qual FROM reads"),
+    "source_gaf": _with(GAF, then="SELECT full_name AS q_name, concat(CASE WHEN fwd THEN '>' ELSE '<' END, node, '>', node + 1) AS path, p_start, block::BIGINT AS block, count(*) AS n FROM gaf GROUP BY ALL"),
+    "source_loci": _base("SELECT node_id, o AS node_offset FROM nodes, unnest(range(length(seq))) t(o)"),
     "gaf_pairs": _with(GAF, then="SELECT line1, line2 FROM gaf_pairs"),
     "gaf_header": _with(GAF, then="SELECT count(*) AS n_records, count(*) FILTER (block <> 0) AS n_valid, count(*) FILTER (block = 0) AS n_invalid FROM gaf"),
     "read_alignments": _with(GAF, TRUTH, then="SELECT name, paired, single, invalid, hi_paired, hi_single, flag FROM per_read JOIN flags USING (name)"),
@@ -274,5 +279,6 @@ SQL["next_kmers"] = _base(
     """numbered AS (SELECT kmer, CAST(sum((position(substr(kmer, i::INTEGER, 1) IN 'ACGT') - 1) * power(4, 8 - i)) AS BIGINT) AS number FROM (SELECT DISTINCT kmer FROM read_kmers), unnest(range(1, 9)) t(i) GROUP BY kmer)""",
 )
 SQL["seeds_all_loci_pruned"] = SQL["seeds_all_loci"]
+SQL["source_index"] = SQL["seeds_distinct"]
 SQL["finder_patched"] = SQL["seeds_distinct"]
 SQL["seeds_stream"] = SQL["seeds_on_paths"]

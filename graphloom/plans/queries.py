@@ -16,7 +16,7 @@ from graphloom.model import Params
 from graphloom.operators import alignments, distance, graph, haplotypes, metrics, paths, seeds, simulate, walks
 from graphloom.plans.finder import SeedFinder
 from graphloom.shipping import ship
-from graphloom.sources import gaf, logs
+from graphloom.sources import gaf, gfa, logs, reads, tables
 from graphloom.staging import shared_dir, staged
 from graphloom.streaming import seeds as streaming
 
@@ -498,6 +498,72 @@ def simulated_errors(spark: SparkSession, d: str) -> DataFrame:
     return simulate.single_end(t, t.select("hap_id", F.lit(5).cast("long").alias("n_reads")), 30, error=0.1, indel=0.2)
 
 
+# --- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+
+
+@query
+def source_gfa(spark: SparkSession, d: str) -> DataFrame:
+    """kind, a, b, text: the segments, links and path steps of the graph, written as GFA and read again."""
+    at = _folder(spark) + ".gfa"
+    gfa.write_gfa(workload.nodes(spark, d), workload.edges(spark, d), workload.path_steps(spark, d), at)
+    nodes, edges, walked = gfa.read_graph(spark, at)
+    return (
+        nodes.select(F.lit("S").alias("kind"), F.col("node_id").alias("a"), F.col("len").cast("long").alias("b"), F.col("seq").alias("text"))
+        .union(edges.select(F.lit("L"), "src", "dst", F.lit(""))).union(walked.select(F.lit("P"), F.col("pos").cast("long"), "node_id", "path_name"))
+    )
+
+
+def _written(spark: SparkSession, d: str, kind: str) -> str:
+    at = _folder(spark)
+    reads.write_sequences(workload.reads(spark, d), at, kind)
+    return at
+
+
+@query
+def source_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """The reads, written as FASTA and read again."""
+    return reads.read_fasta(spark, _written(spark, d, "fasta")).select("name", "seq")
+
+
+@query
+def source_fastq(spark: SparkSession, d: str) -> DataFrame:
+    """The reads, written as FASTQ and read again."""
+    return reads.read_fastq(spark, _written(spark, d, "fastq")).select("name", "seq", "qual")
+
+
+@query
+def source_gaf(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment records' mandatory fields, written as GAF and read again."""
+    at = _folder(spark)
+    gaf.as_lines(_gaf(spark, d)).write.text(at)
+    return gaf.read_gaf(spark, at).groupBy("q_name", "path", "p_start", "block").agg(F.count("*").alias("n"))
+
+
+@query
+def source_loci(spark: SparkSession, d: str) -> DataFrame:
+    """All loci, written as JSON and read again."""
+    at = _folder(spark)
+    tables.write_json(graph.loci(workload.nodes(spark, d)), at)
+    return tables.read_loci(spark, at, "json").select("node_id", F.col("node_offset").cast("long").alias("node_offset"))
+
+
+@query
+def source_index(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds by an index that was saved and loaded again; the same as seeds_on_paths and off them."""
+    n, e = _graph(spark, d)
+    n, e, at = staged(n, "nodes"), staged(e, "edges"), _folder(spark)
+    built = SeedFinder(n, e, Params(K, paths=2, distinct=True))
+    built.build(workload.path_steps(spark, d))
+    built.save(at)
+    loaded = SeedFinder(n, e, Params(K, paths=2, distinct=True))
+    loaded.load(at)
+    return loaded.seeds(workload.reads(spark, d))
+
+
 # --- alignments ------------------------------------------------------------------------------------------------------
 
 

@@ -33,8 +33,10 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     edges = e2.union(e1)
     p2 = lines.where("f[0] = 'O'").select(F.expr("f[1]").alias("path_name"), F.split(F.expr("f[2]"), " ").alias("s"))
     p1 = lines.where("f[0] = 'P'").select(F.expr("f[1]").alias("path_name"), F.split(F.expr("f[2]"), ",").alias("s"))
-    named = p2.union(p1).withColumn("path_id", F.dense_rank().over(W.orderBy("path_name")).cast("long") - 1)  # one row a path
-    steps = named.select("path_id", "path_name", F.posexplode("s").alias("pos", "x"))
+    named = p2.union(p1)
+    # only the names are ranked in one task, not the paths themselves
+    ranks = named.select("path_name").distinct().select("path_name", (F.row_number().over(W.orderBy("path_name")) - 1).cast("long").alias("path_id"))
+    steps = named.join(ranks, "path_name").select("path_id", "path_name", F.posexplode("s").alias("pos", "x"))
     steps = steps.select("path_id", "path_name", "pos", _number("x").alias("node_id"), F.col("x").endswith("-").alias("is_reverse"))
     comp = weak_components(seg.select("node_id"), edges)
     nodes = seg.join(comp, "node_id").select("node_id", F.col("node_id").alias("rank"), "comp", F.length("seq").alias("len"), "seq")
