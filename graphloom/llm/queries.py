@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, covertree, html, imatch, jaccard, langid, ngram_lm, packing, pii, substring
 from graphloom.llm.common import prepare, remainder
+from graphloom.llm.oracles import SQL
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
