@@ -100,7 +100,7 @@ def best_fit_plan(hist: np.ndarray, capacity: int) -> list[Pattern]:
     return plan
 
 
-def plan_bins(hist: np.ndarray, capacity: int, nodes_per_length: int = 20) -> list[Pattern]:
+def plan_bins(hist: np.ndarray, capacity: int, nodes_per_length: int = 1) -> list[Pattern]:
     """Patterns (lengths in a sequence) and how often each is used. hist[n]: how many pieces have length n.
 
     The search visits at most nodes_per_length nodes for each distinct length, and as many again for each of the
