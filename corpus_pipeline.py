@@ -12,19 +12,14 @@ from graphloom.llm import jaccard, langid, packing, pii, substring
 from graphloom.llm.common import prepare, remainder, staged
 
 
-#: Bits a byte of text under the best language; random letters take more, prose about three.
-MOST_BITS = 6.0
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no recognisable language, and give the others the language predicted for them as lang.
 
-    Rejected are null texts, texts without a letter, and texts whose code under the best language is no shorter than
-    MOST_BITS a byte, which is near that of random characters. Rows of one id are treated one by one."""
+    Rejected are null texts and texts without a letter. Rows of one id are treated one by one."""
     prepare(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"), remainder("doc_id", 3) != 1)
     own = _shielded(docs)
-    told = langid.predict(own, model, own.columns).where(f"lang_pred <> 'und' and bits_per_byte < {MOST_BITS}")
+    told = langid.predict(own, model, own.columns).where("lang_pred <> 'und'")
     return _restored(told, docs, {"lang": F.col("lang_pred")})
 
 
