@@ -86,6 +86,9 @@ def verify(queries: DataFrame, pairs: DataFrame, dmin: int, dmax: int) -> DataFr
 
 
 def stats(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """n_rows, n_cells, n_ranges: the order of the matrix, its non-zero cells, and the ranges that hold them."""
-    n = nodes.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("n_rows"))
-    return n.crossJoin(cells.distinct().agg(F.count("*").alias("n_cells"))).crossJoin(ranges(cells).agg(F.count("*").alias("n_ranges")))
+    """n_rows, n_cols, n_cells, n_ranges, cells_per_range: the order of the matrix, its non-zero cells, the ranges that
+    hold them, and how many cells a range holds (null without any)."""
+    spark = cells.sparkSession
+    n = nodes.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long")).first()[0]
+    full, runs = cells.distinct().count(), ranges(cells).count()
+    return spark.createDataFrame([(n, n, full, runs, full / runs if runs else None)], "n_rows long, n_cols long, n_cells long, n_ranges long, cells_per_range double")

@@ -203,7 +203,8 @@ SQL: dict[str, str] = {
     "dindex_merge": _base("SELECT v, o, u, p FROM p1 UNION SELECT v, o, u, p FROM p2", _pairs("p1", DMIN, 8), _pairs("p2", 8, DMAX)),
     "dindex_compress": _base("SELECT v, o, u, p FROM pairs WHERE v <> u", _pairs("pairs", DMIN, DMAX)),
     "dindex_stats": _base(
-        "SELECT (SELECT sum(length(seq))::BIGINT FROM nodes) AS n_rows, (SELECT count(*) FROM cells) AS n_cells, (SELECT count(*) FROM ranges) AS n_ranges", _pairs("pairs", DMIN, DMAX), CELLS, RANGES
+        """SELECT n AS n_rows, n AS n_cols, c AS n_cells, r AS n_ranges, round(c / CAST(r AS DOUBLE), 6) AS cells_per_range
+        FROM (SELECT (SELECT sum(length(seq))::BIGINT FROM nodes) AS n, (SELECT count(*) FROM cells) AS c, (SELECT count(*) FROM ranges) AS r)""", _pairs("pairs", DMIN, DMAX), CELLS, RANGES
     ),
     "haplotypes_random": _base(
         "SELECT comp, hap, pos, node_id FROM hap",

@@ -443,7 +443,8 @@ def dindex_compress(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dindex_stats(spark: SparkSession, d: str) -> DataFrame:
     n, e = _graph(spark, d)
-    return distance.stats(staged(distance.as_cells(distance.distance_pairs(n, e, DMIN, DMAX), n), "cells"), n)
+    found = distance.stats(staged(distance.as_cells(distance.distance_pairs(n, e, DMIN, DMAX), n), "cells"), n)
+    return found.withColumn("cells_per_range", F.round("cells_per_range", 6))
 
 
 # --- haplotypes and simulation ---------------------------------------------------------------------------------------
