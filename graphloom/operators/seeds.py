@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.walks import kwalks
+from graphloom.staging import staged
 
+#: Greedy matches: the characters held behind a position at first, the longest prefix of the first round, how many
+#: lengths a round has while more than so many positions are open, and the characters of all prefixes of a round with
+#: fewer. They set the speed only.
+PREFIX, FIRST, WIDTHS, CHARS = 64, 9, ((1_000_000, 1), (100_000, 4)), 200_000_000
 COLUMNS = ("node_id", "node_offset", "read_id", "read_offset", "match_len", "gocc")
 
 
@@ -57,50 +64,71 @@ def whole_reads(texts: DataFrame, path_kmers: DataFrame, reads: DataFrame, k: in
     return near.where("substr(text, text_pos + 1, length(seq)) = seq").select("node_id", "node_offset", "read_id", "path_id", "text_pos")
 
 
-def greedy_matches(texts: DataFrame, path_kmers: DataFrame, reads: DataFrame, min_length: int, limit: int = 0, max_hits: int = 0, max_length: int = 1_000) -> DataFrame:
+def greedy_matches(texts: DataFrame, path_kmers: DataFrame, reads: DataFrame, min_length: int, limit: int = 0, max_hits: int = 0) -> DataFrame:
     """A greedy scan of each read: extend from a start until the match is at least min_length long and occurs at most
     `limit` times (0: any), report all its occurrences, and go on behind the character that ended it.
 
-    A match that would reach the last character of the read is not reported, as the scan ends there. After max_hits hits
-    (0: no limit) a read's scan stops; the last match is reported whole. path_kmers must have k = min_length.
+    A match that would reach the last character of the read is not reported, as the scan ends there. An N ends a match.
+    After max_hits hits (0: no limit) a read's scan stops; the last match is reported whole. path_kmers must have
+    k = min_length.
 
-    For each start, candidates come from the min_length-mer; common prefixes with their right contexts (as long as the
-    rest of the read) tell how often each longer match occurs. The scan itself folds a read's starts, so no text is
-    broadcast. A prefix shorter than min_length that occurs nowhere moves the start beyond the failing character.
+    Text positions and the reads' starts go down the texts' prefixes together, some lengths a round. Both leave at their
+    first prefix that occurs at most `limit` times, so starts are joined with counts of prefixes and never with the
+    positions that share a min_length-mer; the hits are one equi-join with the prefixes at which positions left. The
+    scan itself folds a read's starts. A prefix shorter than min_length that occurs nowhere moves the start beyond the
+    failing character.
     """
     most = limit or 2**31 - 1
-    starts = reads.where(F.length("seq") >= 1).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("start"))
-    starts = starts.withColumn("rest", F.expr("substr(seq, start + 1)"))
-    mers = starts.where(F.length("rest") >= min_length).withColumn("kmer", F.left("rest", F.lit(min_length)))
-    near = mers.join(path_kmers.select("kmer", "path_id", "text_pos", "node_id", "node_offset"), "kmer").join(texts, "path_id")
-    context = F.expr(f"substr(text, text_pos + 1, least(length(rest), {max_length}))")
-    same = F.expr("length(rest)")
-    near = near.withColumn("context", context)
-    pairs = F.sequence(F.lit(min_length), F.least(F.length("rest"), F.length("context")))
-    lcp = F.aggregate(pairs, F.lit(min_length), lambda acc, i: F.when((acc >= i - 1) & (F.left("rest", i) == F.left("context", i)), i).otherwise(acc))
-    near = near.withColumn("lcp", lcp).select("read_id", "start", same.alias("left"), "lcp", "node_id", "node_offset")
-    # the match length of a start: min_length, or one more than the (limit + 1)-th longest common prefix
-    by_len = W.partitionBy("read_id", "start").orderBy(F.desc("lcp"))
-    ranked = near.withColumn("i", F.row_number().over(by_len))
-    size = F.greatest(F.lit(min_length), F.coalesce(F.max(F.when(F.col("i") == most + 1, F.col("lcp"))) + 1, F.lit(0))) if limit else F.lit(min_length)
-    found = ranked.groupBy("read_id", "start", "left").agg(size.alias("plen"), F.max("lcp").alias("longest"))
-    found = found.withColumn("hit", (F.col("plen") <= F.col("longest")) & (F.col("plen") < F.col("left")))
-    # how far a start without a hit gets: its longest prefix on any path, at least by shorter k-mers
-    reach = _reach(starts, texts, min_length).join(found, ["read_id", "start"], "left")
-    step = F.when(F.coalesce("hit", F.lit(False)), F.col("plen")).otherwise(F.greatest(F.coalesce("longest", F.lit(0)), F.col("short")))
-    plan = reach.select("read_id", "start", F.coalesce("hit", F.lit(False)).alias("hit"), step.cast("int").alias("step"))
-    plan = plan.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("start", "hit", "step"))).alias("s"))
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table can make very many starts
+    reads = reads.select("read_id", "seq").where(F.length("seq") > min_length)
+    top = max(min_length, (reads.agg(F.max(F.length("seq"))).first()[0] or 0) - 1)  # the longest match that can be reported
+    have = min(max(PREFIX, min_length), top)
+
+    def spelled(rows: DataFrame, text: str, at: str) -> DataFrame:
+        """s: the first characters behind each position, up to an N."""
+        return rows.withColumn("s", F.substring_index(F.expr(f"substr({text}, {at} + 1, {have})"), "N", 1)).drop(text)
+
+    starts = reads.repartition(parts, "read_id").withColumn("start", F.explode(F.sequence(F.lit(0), F.length("seq") - min_length - 1))).withColumn("room", F.length("seq") - F.col("start") - 1)
+    starts = spelled(starts, "seq", "start")
+    spots = staged(spelled(path_kmers.drop("kmer").join(texts, "path_id"), "text", "text_pos").repartition(parts, "path_id", "text_pos"), "spots")
+    done, left, at, n_open = [], [], min_length - 1, spots.count()
+    while True:
+        width = next((w for n, w in WIDTHS if n_open > n), max(16, min(at, CHARS // (n_open * at + 1))))
+        to = min(max(at + width, min(FIRST, min_length + 3)), top)
+        if to > have:
+            have = max(to, 4 * have)
+            spots = staged(spelled(spots.drop("s").join(texts, "path_id"), "text", "text_pos"), "spots")
+            starts = staged(spelled(starts.drop("s").join(reads, "read_id"), "seq", "start"), "starts")
+        spots = spots.where(F.length("s") > at)
+        prefixes = spots.select(F.explode(F.transform(F.sequence(F.lit(at + 1), F.least(F.lit(to), F.length("s"))), lambda m: F.left("s", m))).alias("prefix"))
+        prefixes = staged(prefixes.groupBy("prefix").agg(F.count("*").alias("n")), "prefixes")
+        spots = staged(_descend(spots, ["path_id", "text_pos"], F.length("s"), prefixes, at, to, most), "spots")
+        starts = staged(_descend(starts.where(F.col("room") > at), ["read_id", "start"], F.col("room"), prefixes, at, to, most), "starts")
+        left.append(spots.where("leaf is not null").select(F.expr("left(s, leaf.m)").alias("prefix"), "node_id", "node_offset", F.col("leaf.n").alias("gocc")))
+        done.append(starts.where("leaf is not null").select("read_id", "start", F.lit(True).alias("hit"), F.col("leaf.m").alias("step")))
+        ended = starts.where(F.col("leaf").isNull() & (F.col("depth") < F.least(F.lit(to), "room")))
+        if at < min_length:  # how far a start without a whole min_length-mer gets
+            done.append(_reach(ended.where(F.col("depth") < min_length), texts, min_length).select("read_id", "start", F.lit(False).alias("hit"), F.col("short").alias("step")))
+        done.append(ended.where(F.col("depth") >= min_length).select("read_id", "start", F.lit(False).alias("hit"), F.col("depth").alias("step")))
+        spots, starts = (x.where(F.col("leaf").isNull() & (F.col("depth") == to)).drop("leaf", "depth") for x in (spots, starts))
+        at, more, n_open = to, starts.count(), spots.count()
+        if at >= top or not more:
+            break
+        n_open = max(n_open, more)
+    plan = reduce(DataFrame.union, done).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("start", "hit", "step"))).alias("s"))
     seen = F.aggregate(
-        "s", F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("taken")),
+        "s", F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,step:int>>").alias("taken")),
         lambda acc, x: F.when(
             x["start"] == acc["next"],
-            F.struct((x["start"] + x["step"] + 1).alias("next"), F.when(x["hit"], F.concat(acc["taken"], F.array(x["start"]))).otherwise(acc["taken"]).alias("taken")),
+            F.struct(
+                (x["start"] + x["step"] + 1).alias("next"),
+                F.when(x["hit"], F.concat(acc["taken"], F.array(F.struct(x["start"].alias("start"), x["step"].alias("step"))))).otherwise(acc["taken"]).alias("taken"),
+            ),
         ).otherwise(acc),
     )
-    taken = plan.select("read_id", F.explode(seen["taken"]).alias("start"))
-    hits = near.join(taken, ["read_id", "start"]).join(found.select("read_id", "start", "plen"), ["read_id", "start"]).where("lcp >= plen")
-    n = F.count("*").over(W.partitionBy("read_id", "start"))
-    hits = hits.select("node_id", "node_offset", "read_id", F.col("start").alias("read_offset"), F.col("plen").alias("match_len"), n.alias("gocc"))
+    taken = plan.select("read_id", F.explode(seen["taken"]).alias("t")).join(reads, "read_id")
+    taken = taken.select("read_id", F.col("t.start").alias("read_offset"), F.col("t.step").alias("match_len"), F.expr("substr(seq, t.start + 1, t.step)").alias("prefix"))
+    hits = taken.join(reduce(DataFrame.union, left), "prefix")
     if max_hits:
         per = hits.groupBy("read_id", "read_offset").agg(F.count("*").alias("n"))
         before = F.coalesce(F.sum("n").over(W.partitionBy("read_id").orderBy("read_offset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -108,14 +136,35 @@ def greedy_matches(texts: DataFrame, path_kmers: DataFrame, reads: DataFrame, mi
     return hits.select(*COLUMNS)
 
 
+def _descend(rows: DataFrame, key: list[str], room: Column, prefixes: DataFrame, at: int, to: int, most: int) -> DataFrame:
+    """rows (s, with prefixes up to room) with depth: the longest prefix of s met on the way from at to to, and leaf
+    (m, n): the first one that occurs at most `most` times, where the row stops. A few lengths are a join each, which
+    moves no row while the prefixes are few; many lengths are one join of all of a row's prefixes."""
+    if to - at > 4:
+        met = rows.select(*key, "s", F.explode(F.sequence(F.lit(at + 1), F.least(F.lit(to), room))).alias("m")).withColumn("prefix", F.expr("left(s, m)")).join(prefixes, "prefix")
+        met = met.where(F.length("prefix") == F.col("m")).groupBy(*key).agg(F.max("m").alias("depth"), F.min(F.when(F.col("n") <= most, F.struct("m", "n"))).alias("leaf"))
+        return rows.join(met, key, "left").withColumn("depth", F.coalesce("depth", F.lit(at)))
+    out = rows.withColumn("depth", F.lit(at)).withColumn("leaf", F.lit(None).cast("struct<m:int,n:bigint>"))
+    for m in range(at + 1, to + 1):
+        live = F.col("leaf").isNull() & (F.col("depth") == m - 1) & (room >= m)
+        met = prefixes.where(F.length("prefix") == m)
+        out = out.withColumn("key", F.when(live, F.left("s", F.lit(m)))).join(met, F.col("key") == F.col("prefix"), "left")
+        leaf = F.when(F.col("n") <= most, F.struct(F.lit(m).alias("m"), F.col("n").alias("n"))).otherwise(F.col("leaf"))
+        out = out.withColumn("leaf", leaf).withColumn("depth", F.when(F.col("n").isNotNull(), m).otherwise(F.col("depth"))).drop("key", "prefix", "n")
+    return out
+
+
 def _reach(starts: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
-    """read_id, start, short: the longest prefix below min_length of the rest that occurs on a path."""
-    out = starts.select("read_id", "start", "rest").withColumn("short", F.lit(0))
+    """read_id, start, short: the longest prefix of s below min_length that occurs on a path."""
+    out = starts.select("read_id", "start", "s").withColumn("short", F.lit(0))
+    spot = texts.where(F.length("text") > 0).select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    tips = spot.select(F.substring_index(F.expr(f"substr(text, i, {min_length - 1})"), "N", 1).alias("tip")).distinct()
     for m in range(1, min_length):
-        known = texts.where(F.length("text") >= m).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("text") - m), lambda i: F.substring("text", i + 1, F.lit(m)))).alias("p")).distinct()
-        out = out.join(known, F.left("rest", F.lit(m)) == F.col("p"), "left")
-        out = out.withColumn("short", F.when(F.col("p").isNotNull() & (F.length("rest") >= m) & (F.col("short") == m - 1), m).otherwise(F.col("short"))).drop("p")
-    return out.drop("rest")
+        known = tips.where(F.length("tip") >= m).select(F.left("tip", F.lit(m)).alias("p")).distinct()
+        key = F.when((F.col("short") == m - 1) & (F.length("s") >= m), F.left("s", F.lit(m)))
+        out = out.withColumn("key", key).join(known, F.col("key") == F.col("p"), "left")
+        out = out.withColumn("short", F.when(F.col("p").isNotNull(), m).otherwise(F.col("short"))).drop("key", "p")
+    return out
 
 
 def prefix_table(texts: DataFrame, depth: int) -> DataFrame:

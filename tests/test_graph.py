@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -161,6 +162,37 @@ def test_greedy_matches_equal_a_scan(spark):
         assert got == sorted((i, *x) for i, r in enumerate(reads) for x in scan(r, least, limit))
 
 
+def test_greedy_matches_of_any_length_and_with_n(spark):
+    """Matches over 1000 bases, an N in a text and many copies of a text, held against a scan that extends base by base."""
+    rng = random.Random(3)
+    long = "".join(rng.choices("ACGT", k=1300))
+    texts = [long, long[:1200] + "C" + long[:30], "ACGTNACGTTNNGA", *["GATTACA" * 3] * 40, "A" * 60]
+    reads = [long[:1250], long[5:1195] + "GG" + long[300:340], "TACGTNACGTTC", "CGATTACAGATTACAGATTACATT", "A" * 30 + "NN" + "A" * 70, "N", "", "ACG", *("".join(rng.choices("ACGT", k=40)) for _ in range(20))]
+
+    def scan(read, least, limit, most):
+        out, start, n, hits = [], 0, 0, 0
+        while start + n < len(read):
+            occ = [(i, p) for i, t in enumerate(texts) for p in range(len(t) - n + 1) if t.startswith(read[start : start + n], p)] if n >= least else []
+            hit = n >= least and len(occ) <= (limit or 10**9)
+            if hit:
+                out += [(start, n, len(occ), i, p) for i, p in occ]
+                hits += len(occ)
+                if most and hits >= most:
+                    break
+            if hit or read[start + n] == "N" or not any(read[start : start + n + 1] in t for t in texts):
+                start, n = start + n + 1, 0
+            else:
+                n += 1
+        return out
+
+    nodes = spark.createDataFrame([(i + 1, s) for i, s in enumerate(texts)], "node_id long, seq string")
+    steps = spark.createDataFrame([(i, 0, i + 1) for i in range(len(texts))], "path_id long, pos int, node_id long")
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    for least, limit, most in ((4, 1, 0), (4, 0, 3)):
+        found = seeds.greedy_matches(paths.path_texts(steps, nodes), paths.path_kmers(steps, nodes, least), df, least, limit, most).collect()
+        assert sorted((r.read_id, r.read_offset, r.match_len, r.gocc, r.node_id - 1, r.node_offset) for r in found) == sorted((i, *x) for i, r in enumerate(reads) for x in scan(r, least, limit, most))
+
+
 def test_path_ends_and_positions(spark):
     n = tiny.nodes(spark)
     steps = spark.createDataFrame([(7, i, x) for i, x in enumerate((1, 3, 5, 6))], "path_id long, pos int, node_id long")
