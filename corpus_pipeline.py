@@ -55,14 +55,16 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _shielded(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and every column under a name that no operator uses, so that no extra column can clash."""
-    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)])
+    """doc_id and text, and every other column under a name that no operator uses, so that no extra column can clash. A
+    text is there once: what travels to the workers with it is held there and in the JVM."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
 
 
 def _restored(df: DataFrame, docs: DataFrame, new: dict[str, F.Column] | None = None) -> DataFrame:
     """The columns of docs again, with what is new in them."""
     new = new or {}
-    return df.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own = {c: F.col(c if c in ("doc_id", "text") else f"own_{i}") for i, c in enumerate(docs.columns)}
+    return df.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else own[c].alias(c) for c in docs.columns])
 
 
 def _new_text(docs: DataFrame, text: F.Column) -> dict[str, F.Column]:

@@ -25,8 +25,9 @@ _LIBC = ctypes.CDLL(None)
 def prepare(spark: SparkSession) -> None:
     """Send the package to the workers, and let an Arrow batch hold few enough rows for long texts.
 
-    What steps before this one have left in the driver is given back first."""
+    What steps before this one have left in the driver and in the executors is given back first."""
     finish_step(spark)
+    collect_executors(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -230,6 +231,13 @@ def finish_step(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def collect_executors(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, which also shrinks their heaps: a step then starts with the memory
+    that it would have if it ran alone. An executor that gets no task keeps what it holds, which costs memory only."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 # --- connected components --------------------------------------------------------------------------------------------
 
 

@@ -155,12 +155,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
     kept = [docs.schema[c] for c in keep]
+    # a text that is kept is sent once
+    at, extra = (keep.index("text"), []) if "text" in keep else (len(keep), [F.col("text").alias("__text")])
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = held.value
-        texts = batch.column(batch.num_columns - 1)
-        for lo, hi, buf, offs in blocks(texts, 1 << 20):
+        texts = batch.column(at)
+        for lo, hi, buf, offs in blocks(texts, 1 << 18):  # a byte takes some sixty in passing
             bits = code_lengths(m, buf, offs)
             ok = has_letter(buf, offs) & bool(m.langs)
             if m.langs:
@@ -173,4 +175,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             rate = (bits.min(1) if m.langs else np.zeros(hi - lo)) / np.maximum(np.diff(offs), 1)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(rate)], [*keep, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(per_batch(run), schema)
+    return docs.select(*keep, *extra).mapInArrow(per_batch(run), schema)

@@ -12,7 +12,7 @@ from llm_cases import by_row, words_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import covertree, html, jaccard
+from graphloom.llm import covertree, html, jaccard, langid
 from graphloom.llm.common import components, near_components
 
 
@@ -225,3 +225,14 @@ def test_pipeline_stages(ready, docs, empty):
     assert before >= seen[0][1] >= seen[1][1] == seen[2][1] == seen[3][1]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(ready, empty, "unused").count() == 0, name
+
+
+def test_pipeline_sends_each_text_once(ready, docs):
+    own = corpus_pipeline._shielded(docs)
+    assert sorted(map(str.lower, own.columns[:2])) == ["doc_id", "text"] and len(own.columns) == len(docs.columns)
+    model = langid.train(docs, F.lit(True))
+    plan = langid.predict(own, model, own.columns)._jdf.queryExecution().optimizedPlan()
+    sent = plan.children().head().output()
+    assert sent.size() == len(own.columns)
+    a, b = (sorted(map(str, langid.predict(own, model, keep).select("doc_id", "lang_pred", "score").collect())) for keep in (own.columns, ["doc_id"]))
+    assert a == b
