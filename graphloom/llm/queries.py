@@ -41,8 +41,7 @@ def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rest = remainder("doc_id", 7)
-    model, unigrams = ngram_lm.train(docs, rest != 2)
-    return ngram_lm.score(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model, unigrams, ["doc_id", "held_out"])
+    return ngram_lm.score(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), None, None, ["doc_id", "held_out"], learns=rest != 2)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

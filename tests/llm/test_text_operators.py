@@ -265,6 +265,40 @@ def test_language_model_probabilities_sum_to_at_most_one():
             assert 0.9 < sum(10.0**x for x in logs) <= 1
 
 
+def plain_score(texts: list[str | None], learns: list[bool]) -> list[float]:
+    """log10 probabilities by the definition, from every 1-, 2- and 3-gram of the training texts."""
+    rows = [["<s>", *words_of((t or "").lower()), None] for t in texts]
+    c = [Counter(tuple(r[i : i + k]) for r, on in zip(rows, learns, strict=True) if on for i in range(len(r) - k + 1)) for k in (1, 2, 3)]
+    n, v = sum(x for k, x in c[0].items() if k != ("<s>",)), len(c[0]) - (("<s>",) in c[0])
+
+    def p(gram: tuple) -> float:
+        if len(gram) == 1:
+            return (c[0][gram] + 1) / (n + v + 1)
+        seen, lower = c[len(gram) - 2][gram[:-1]], p(gram[1:])
+        m = math.sqrt(seen) * ngram_lm.MASS
+        return (c[len(gram) - 1][gram] + m * lower) / (seen + m) if seen else lower
+
+    return [sum(math.log10(p(tuple(r[max(0, i - 2) : i + 1]))) for i in range(1, len(r))) for r in rows]
+
+
+def test_language_model_counts_every_gram(ready, monkeypatch):
+    """Also those met once among many tokens, over several blocks and ranges of hashes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in (rng.pareto(0.7, rng.integers(0, 60)) * 3).astype(int)) for _ in range(300)]
+    texts += [None, "", "Once met phrase", "once met phrase", "once met other", *["copy of a copy"] * 40]
+    learns = [zlib.crc32(str(i).encode()) % 3 != 2 for i in range(len(texts))]
+    docs = ready.createDataFrame([(i, t, on) for i, (t, on) in enumerate(zip(texts, learns, strict=True))], "doc_id long, text string, on boolean").repartition(5)
+    want = plain_score(texts, learns)
+    monkeypatch.setattr(ngram_lm, "BLOCK", 4000)
+    monkeypatch.setattr(ngram_lm, "RANGE", 9000)
+    trained = ngram_lm.train(docs, F.col("on"))
+    for flag in (None, F.col("on")):
+        got = {r.doc_id: r for r in by_row(ngram_lm.score(docs, *trained, ["doc_id"], learns=flag))}
+        assert len(got) == len(texts)
+        for i, x in enumerate(want):
+            assert x - 2 * ngram_lm.STEP * got[i].n_tokens - 1e-6 <= got[i].score <= x + 1e-6
+
+
 def test_elias_fano_and_packing_round_trip():
     rng = np.random.default_rng(2)
     for n, top in ((1, 0), (5, 3), (1000, 10), (1000, 10**7), (300, 2**40)):
